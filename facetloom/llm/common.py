@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,16 +39,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute df once, as a table written in the shared folder, and go on from there: a lost executor costs no lineage.
+
+    (checkpoint() computes its last stage twice.) The tables stay until ``clear`` or the end of the application's folder.
+    """
+    folder = f"{work_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def work_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/facetloom-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what ``cut`` has written in this application; DataFrames made from it can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join; right, which should be checkpointed or cheap, is broadcast only if it has at most ``most`` rows, else both sides are shuffled."""
     if right.limit(most + 1).count() <= most:
         return left.join(F.broadcast(right), on, how)
-    return left.join(right.hint("shuffle_hash") if how in ("left", "inner") else right, on, how)
+    return left.join(right.hint("shuffle_hash"), on, how)
 
 
 def byte_chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -80,8 +95,22 @@ def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes above the space, which no text boundary lets run on."""
-    inner = raw > 32
-    n = len(raw)
+    return spans(raw > 32, offsets)
+
+
+def fold_case(raw: np.ndarray) -> np.ndarray:
+    """A copy in which ASCII and two-byte Latin-1 capitals are lower case; lengths stay."""
+    out = raw.copy()
+    out[(raw >= 65) & (raw <= 90)] += 32
+    if len(raw) > 1:
+        late = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)) + 1
+        out[late] += 32
+    return out
+
+
+def spans(inner: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true bytes, ended also by text boundaries."""
+    n = len(inner)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.zeros(n + 1, bool)

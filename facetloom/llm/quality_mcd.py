@@ -167,18 +167,14 @@ def _model(scale: float):
 
 
 def distance() -> Column:
-    """Squared Mahalanobis distance of x under the model columns of the row."""
-    total = F.lit(0.0)
-    for i in range(D):
-        y = F.lit(0.0)
-        for j in range(i + 1):
-            y = y + F.col(f"w{i}_{j}") * (F.col(X[j]) - F.col(f"m{j}"))
-        total = total + y * y
-    return total
+    """Squared Mahalanobis distance of x under the model columns of the row. (One parsed expression: built call by call it would take the driver longer than the job.)"""
+    rows = [" + ".join(f"w{i}_{j} * (x{j} - m{j})" for j in range(i + 1)) for i in range(D)]
+    return F.expr(" + ".join(f"({r}) * ({r})" for r in rows))
 
 
-def _moments(x: list[Column]) -> list[Column]:
-    return [F.sum(v).alias(f"s{i}") for i, v in enumerate(x)] + [F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in PAIRS]
+def _moments(x: list[str]) -> list[Column]:
+    """Sums and sums of products of expressions."""
+    return [F.expr(f"sum({v}) AS s{i}") for i, v in enumerate(x)] + [F.expr(f"sum({x[i]} * {x[j]}) AS p{i}_{j}") for i, j in PAIRS]
 
 
 M = [f"s{i}" for i in range(D)] + [f"p{i}_{j}" for i, j in PAIRS]
@@ -187,7 +183,7 @@ M = [f"s{i}" for i in range(D)] + [f"p{i}_{j}" for i, j in PAIRS]
 def estimate(stats: DataFrame, min_group: int = 80, share: float = 0.75, most_steps: int = 12, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """The groups (``__lang``, ``__source`` -> g) and their models (MODEL, of reweighted MCD estimates).
 
-    ``stats`` is read once a step, so it should be checkpointed. ``share`` of a group's documents make the concentrated subset.
+    ``stats`` is read once a step, so it should be a written table. ``share`` of a group's documents make the concentrated subset.
     """
     known = stats.where(F.col("x0").isNotNull())
     sizes = known.groupBy("__lang", "__source").agg(F.count("*").alias("n"))
@@ -211,20 +207,18 @@ def estimate(stats: DataFrame, min_group: int = 80, share: float = 0.75, most_st
         levels = levels.unionByName(groups.select("__lang", "__source", F.lit("all").alias("g")))
     data = join_checked(known, cut(levels), ["__lang", "__source"], "inner").select("g", *X)
 
-    centre = data.groupBy("g").agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(X)])
-    centre = cut(centre.select("g", *[F.col(f"q{i}")[1].alias(f"c{i}") for i in range(D)], *[((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349 + F.lit(floor)).alias(f"d{i}") for i, floor in enumerate(STATISTICS.values())]))
+    centre = data.groupBy("g").agg(*[F.expr(f"percentile_approx({x}, array(0.25, 0.5, 0.75), 1000) AS q{i}") for i, x in enumerate(X)])
+    centre = cut(centre.select("g", *[F.expr(f"q{i}[1] AS c{i}") for i in range(D)], *[F.expr(f"(q{i}[2] - q{i}[0]) / 1.349D + {floor}D AS d{i}") for i, floor in enumerate(STATISTICS.values())]))
 
     # Starts: 0, the coordinates' medians and quartile ranges; 1, the correlations of tanh-compressed scores.
-    z = [F.tanh((F.col(X[i]) - F.col(f"c{i}")) / F.col(f"d{i}")) for i in range(D)]
+    z = [f"tanh((x{i} - c{i}) / d{i})" for i in range(D)]
     squashed = join_checked(data, centre, ["g"], "inner").groupBy("g").agg(F.count("*").alias("n"), *_moments(z))
     squashed = squashed.join(centre, "g")
-    corr = lambda i, j: (F.col(f"p{i}_{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n"))
-    unit = lambda i: F.sqrt(corr(i, i) + F.lit(1e-6))
-    scale = lambda i, j: F.col(f"d{i}") * F.col(f"d{j}")
-    about = lambda i, j: F.col(f"c{i}") * F.col(f"c{j}")
-    means = [F.col(f"c{i}").alias(f"s{i}") for i in range(D)]
-    one = [((scale(i, i) if i == j else F.lit(0.0)) + about(i, j)).alias(f"p{i}_{j}") for i, j in PAIRS]
-    two = [((corr(i, j) / unit(i) / unit(j)) * scale(i, j) + about(i, j)).alias(f"p{i}_{j}") for i, j in PAIRS]
+    corr = lambda i, j: f"(p{i}_{j} / n - s{i} * s{j} / n / n)"
+    unit = lambda i: f"sqrt({corr(i, i)} + 1e-6D)"
+    means = [F.expr(f"c{i} AS s{i}") for i in range(D)]
+    one = [F.expr(f"{f'd{i} * d{i}' if i == j else '0.0D'} + c{i} * c{j} AS p{i}_{j}") for i, j in PAIRS]
+    two = [F.expr(f"{corr(i, j)} / {unit(i)} / {unit(j)} * d{i} * d{j} + c{i} * c{j} AS p{i}_{j}") for i, j in PAIRS]
     starts = squashed.select("g", F.lit(0).alias("start"), F.lit(1.0).alias("n"), *means, *one).unionByName(squashed.select("g", F.lit(1).alias("start"), F.lit(1.0).alias("n"), *means, *two))
     model = cut(starts.mapInPandas(_model(1.0), MODEL))
 
@@ -232,11 +226,11 @@ def estimate(stats: DataFrame, min_group: int = 80, share: float = 0.75, most_st
 
     def step(model: DataFrame) -> DataFrame:
         placed = join_checked(data, model, ["g"], "inner").withColumn("d2", distance())
-        bins = placed.groupBy("g", "start", F.floor(64 * F.log2(1 + F.col("d2"))).alias("bin")).agg(F.count("*").cast("double").alias("n"), *_moments([F.col(x) for x in X]))
+        bins = placed.groupBy("g", "start", F.floor(64 * F.log2(1 + F.col("d2"))).alias("bin")).agg(F.count("*").cast("double").alias("n"), *_moments(X))
         group = Window.partitionBy("g", "start")
         bins = bins.withColumn("all", F.sum("n").over(group)).withColumn("before", F.sum("n").over(group.orderBy("bin")) - F.col("n"))
         part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("all") * share - F.col("before")) / F.col("n")))
-        chosen = bins.withColumn("part", part).where("part > 0").groupBy("g", "start").agg(*[F.sum(F.col(c) * F.col("part")).alias(c) for c in ("n", *M)])
+        chosen = bins.withColumn("part", part).where("part > 0").groupBy("g", "start").agg(*[F.expr(f"sum({c} * part) AS {c}") for c in ("n", *M)])
         return cut(chosen.mapInPandas(_model(consistency), MODEL))
 
     for _ in range(2):
@@ -250,7 +244,7 @@ def estimate(stats: DataFrame, min_group: int = 80, share: float = 0.75, most_st
             break
 
     limit = chi_square_quantile(0.975, D)
-    inside = join_checked(data, model, ["g"], "inner").where(distance() <= limit).groupBy("g", "start").agg(F.count("*").cast("double").alias("n"), *_moments([F.col(x) for x in X]))
+    inside = join_checked(data, model, ["g"], "inner").where(distance() <= limit).groupBy("g", "start").agg(F.count("*").cast("double").alias("n"), *_moments(X))
     return groups, cut(inside.mapInPandas(_model(0.975 / chi_square_cdf(limit, D + 2)), MODEL))
 
 
