@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, quality_mcd
+from . import language, near_dedup, packing, quality_mcd
 from .common import read
 
 
@@ -13,9 +13,18 @@ def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.score(read(spark, sf_dir, "documents")).where("keep").drop("keep")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose language is certain."""
+    return language.identify(read(spark, sf_dir, "documents")).where("keep").drop("keep")
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mcd, op9_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_mcd, op3_packing, op8_language_id, op9_near_dedup)}
 ORACLES: dict[str, str] = {}
