@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, near_dedup, packing, quality_mcd
+from . import bpe, language, near_dedup, packing, quality_mcd, token_counts
 from .common import read
 
 
@@ -13,6 +14,12 @@ def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mcd.score(read(spark, sf_dir, "documents")).where("keep").drop("keep")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether decoding them gives the text back."""
+    encoded = bpe.encode(read(spark, sf_dir, "documents"))
+    return bpe.decode(encoded).select("doc_id", "ids", (F.xxhash64(F.col("decoded").cast("string")) == F.col("h")).alias("exact"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -26,5 +33,9 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mcd, op3_packing, op8_language_id, op9_near_dedup)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_bpe, op3_packing, op8_language_id, op9_near_dedup, op10_token_counts)}
 ORACLES: dict[str, str] = {}
