@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, near_dedup, packing, quality_mcd, token_counts
+from . import bpe, classifier, fixity, language, near_dedup, packing, quality_mcd, shard_tree, syncmers, token_counts
 from .common import read
 
 
@@ -24,12 +24,45 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier finds good and not toxic, with the probabilities."""
+    docs = read(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.fit(docs, read(spark, sf_dir, "labels"))).where("keep").drop("keep")
+
+
+def op6_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_tree.place(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+def op7_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages against a replica. There is none in the tables, so one is made here: records whose payload's MD5 begins with 00 have a flipped first character, those with 010 are lost."""
+    pages = read(spark, sf_dir, "pages")
+    mark = F.md5(F.coalesce("html", F.lit("")))
+    flipped = pages.withColumn("html", F.when(mark.startswith("00"), F.concat(F.lit("X"), F.substring("html", 2, 2147483647))).otherwise(F.col("html")))
+    lost = pages.where(mark.startswith("010")).select(F.col("page_id").alias("id"))
+    return fixity.audit(fixity.records(pages), fixity.records(flipped).join(lost, "id", "left_anti"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents whose language is certain."""
     return language.identify(read(spark, sf_dir, "documents")).where("keep").drop("keep")
 
 
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by its visible text, the language its markup declares, its address and its host."""
+    pages = read(spark, sf_dir, "pages")
+    visible = F.regexp_replace(F.regexp_replace(F.col("html"), r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>|&#?\w+;", " ")
+    declared = F.nullif(F.lower(F.regexp_extract("html", r"(?i)<html[^>]*?\slang=[\"']?([a-z]+)", 1)), F.lit(""))
+    pages = pages.select("page_id", "url", visible.alias("text"), declared.alias("lang"))
+    return language.identify(pages, key="page_id", address="url", host=None)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that goes, with the one of its group that stays."""
     return near_dedup.duplicates(read(spark, sf_dir, "documents"))
 
 
@@ -37,5 +70,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_bpe, op3_packing, op8_language_id, op9_near_dedup, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+OPERATORS = (op1_quality_mcd, op2_bpe, op3_packing, op4_syncmers, op5_quality_classifier, op6_shard_tree, op7_fixity, op8_language_id, op9_near_dedup, op10_token_counts, language_of_pages)
+QUERIES = {f.__name__: f for f in OPERATORS}
+
+ORACLES = {
+    "op6_shard_tree": shard_tree.sql(),
+    "op7_fixity": """
+WITH sized AS (
+  SELECT page_id, CAST(coalesce(floor(page_id / 4096), -1) AS BIGINT) AS file, md5(coalesce(html, '')) AS mark, html,
+    strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS length
+  FROM pages),
+placed AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM sized)
+SELECT file, "offset", page_id, CASE WHEN mark LIKE '010%' THEN 'missing' ELSE 'corrupt' END AS status
+FROM placed WHERE (mark LIKE '00%' AND html <> '') OR mark LIKE '010%'""",
+}
