@@ -75,7 +75,7 @@ def _sampled(most: int):
     return run
 
 
-def train(lists: list[np.ndarray], classes: np.ndarray, epochs: int = 8, rate: float = 0.3, batch: int = 32, seed: int = 7) -> np.ndarray:
+def train(lists: list[np.ndarray], classes: np.ndarray, epochs: int = 8, rate: float = 1.0, batch: int = 32, seed: int = 7) -> np.ndarray:
     """A table of scores, class by class, for each bucket; its last row is the bias."""
     k = len(CLASSES)
     if not len(lists):
