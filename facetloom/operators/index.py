@@ -15,9 +15,6 @@ from pyspark.sql import types as T
 
 from .defs import Facet
 
-#: Session conf or rows decide the width of packed chunks in the original design; Spark's bitmap functions fix 32,768 ids a chunk.
-CHUNK = 32_768
-
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -103,7 +100,7 @@ class FacetIndex:
     def write(self, path: str) -> FacetIndex:
         """Store the index by facet and go on from the stored one."""
         self.rows.write.partitionBy("facet_id").mode("overwrite").parquet(path)
-        return FacetIndex(self.rows.sparkSession.read.schema(self.rows.schema).parquet(path), self.facets, self.key, self.table, self.docs)
+        return FacetIndex(self.rows.sparkSession.read.schema(self.rows.schema).parquet(path).select(*self.rows.columns), self.facets, self.key, self.table, self.docs)
 
     def cardinality(self) -> DataFrame:
         """facet_id, facet_name, facet_value and the number of documents."""
