@@ -19,9 +19,17 @@ CHUNK_BYTES = 1 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bound_batches(spark: SparkSession, most: str = "64m") -> None:
+    """Let Arrow batches end at so many bytes, as 10,000 rows of long texts wouldn't fit a worker; a session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, most)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
