@@ -229,3 +229,25 @@ def test_sources(spark, tmp_path):
     df = tables.query(spark, "SELECT id, name AS kind, name AS content FROM {t}", t=spark.createDataFrame([(1, "red lamp")], "id long, name string"))
     index, text = tables.set_up(df, "id", content="content", path=f"{tmp_path}/out")
     assert introspect.facet_names(index) == ["kind"] and ids(search.search(text, "lamp")) == [1]
+
+
+def test_faceted_table(spark):
+    from facetloom.table import FacetedTable
+
+    df = spark.createDataFrame([(1, "lamp", "red lamp"), (2, "table", "old table"), (3, "lamp", "blue lamp")], "id long, kind string, content string")
+    t = FacetedTable(df, "id", [defs.plain("kind")], "content", name="things")
+    assert ids(t.filter_documents({"kind": "lamp"})) == [1, 3] and t.bm25_search("lamp").count() == 2
+    row = df.schema.simpleString()
+    t.change(spark.createDataFrame([("delete", (1, "lamp", "red lamp"), None), ("insert", None, (4, "vase", "red vase")), ("update", (3, "lamp", "blue lamp"), (3, "lamp", "green lamp"))], f"op string, old {row}, new {row}"))
+    assert t.delta_status().first().delta_count == 2
+    assert ids(t.filter_documents({"kind": ["lamp", "vase"]})) == [3, 4] and ids(t.bm25_search("red blue green")) == [3, 4]
+    found = t.search("red", {"kind": "vase"})
+    assert ids(found.page) == [4] and found.facets.first().cardinality == 1
+    assert t.add_facet(defs.plain("content", "words")) == [2] and t.drop_facet("words", "x") == ["words"]
+    t.delete_documents(spark.createDataFrame([(4,)], "doc_id long"))
+    assert t.bm25_search("red").count() == 0 and t.introspect()["has_text"] and t.merge_deltas() == 0
+    assert t.bm25_score("table", 2) > 0 and t.text_statistics().first().total_documents == 2
+    t.refresh()
+    assert t.bm25_search("red").count() == 1 and ids(t.filter_documents({"kind": "vase"})) == []
+    assert {r.facet_value for r in t.top_values().collect()} == {"lamp", "table"} and t.facet_counts("kind").count() == t.count_results().count() == 2
+    assert t.hierarchical_facets()["regular"].count() == 2
