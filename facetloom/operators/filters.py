@@ -54,8 +54,7 @@ def documents(index: FacetIndex, filters: Filters, match_all: bool = False, comm
         here = (F.col("facet_id") == known[name]) & F.col("facet_value").isin(*sorted(values))
         where = where | here
         bit = bit.bitwiseOR(F.when(here, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    rows = index.rows.where(F.col("facet_id").isin(*sorted({known[k[0]] for k in wanted})) & where)
-    return rows.groupBy("doc_id").agg(F.bit_or(bit).alias("met")).where(F.col("met") == (1 << len(wanted)) - 1).select("doc_id")
+    return index.of(*sorted({k[0] for k in wanted})).where(where).groupBy("doc_id").agg(F.bit_or(bit).alias("met")).where(F.col("met") == (1 << len(wanted)) - 1).select("doc_id")
 
 
 def page(docs: DataFrame | None, limit: int = 100, offset: int = 0) -> DataFrame | None:

@@ -44,8 +44,10 @@ def long_form(df: DataFrame, key: str, facets: Iterable[Facet]) -> DataFrame:
 
 
 class FacetIndex:
-    def __init__(self, rows: DataFrame, facets: list[Facet], key: str, table: str = "", docs: DataFrame | None = None):
-        self.rows, self.facets, self.key, self.table, self.docs = rows, facets, key, table, docs
+    """``live``: rows is what docs give now, so a few facets can be had by reading their columns only; else rows is pruned by facet."""
+
+    def __init__(self, rows: DataFrame, facets: list[Facet], key: str, table: str = "", docs: DataFrame | None = None, live: bool = False):
+        self.rows, self.facets, self.key, self.table, self.docs, self.live = rows, facets, key, table, docs, live
 
     @classmethod
     def build(cls, df: DataFrame, key: str, facets: list[Facet], table: str = "") -> FacetIndex:
@@ -53,7 +55,7 @@ class FacetIndex:
         if len(set(names)) < len(names):
             raise ValueError("facet names must differ")
         facets = [f.numbered(i) for i, f in enumerate(facets, 1)]
-        return cls(long_form(df, key, facets), facets, key, table, df)
+        return cls(long_form(df, key, facets), facets, key, table, df, True)
 
     @classmethod
     def from_columns(cls, df: DataFrame, key: str = "id", columns: list[str] | None = None, content: str | None = None, table: str = "") -> FacetIndex:
@@ -72,7 +74,9 @@ class FacetIndex:
         raise KeyError(f"no facet {name}")
 
     def of(self, *names: str) -> DataFrame:
-        """Rows of the facets named, pruned by id."""
+        """Rows of the facets named."""
+        if self.live and names:
+            return long_form(self.docs, self.key, [self.facet(n) for n in names])
         return self.rows.where(F.col("facet_id").isin(*[self.facet(n).id for n in names]))
 
     def add(self, facets: list[Facet], df: DataFrame | None = None) -> FacetIndex:
@@ -81,13 +85,14 @@ class FacetIndex:
         new = [f.numbered(last + i) for i, f in enumerate(facets, 1)]
         if {f.name for f in new} & {f.name for f in self.facets}:
             raise ValueError("facet names must differ")
-        return FacetIndex(self.rows.unionByName(long_form(df or self.docs, self.key, new)), [*self.facets, *new], self.key, self.table, self.docs)
+        rows = long_form(self.docs if df is None else df, self.key, new)
+        return FacetIndex(self.rows.unionByName(rows), [*self.facets, *new], self.key, self.table, self.docs, self.live and df in (None, self.docs))
 
     def drop(self, names: list[str]) -> tuple[FacetIndex, list[str]]:
         """Without the facets named, and the names that there were; unknown names are ignored."""
         gone = [f for f in self.facets if f.name in names]
         rows = self.rows.where(~F.col("facet_id").isin(*[f.id for f in gone])) if gone else self.rows
-        return FacetIndex(rows, [f for f in self.facets if f not in gone], self.key, self.table, self.docs), [f.name for f in gone]
+        return FacetIndex(rows, [f for f in self.facets if f not in gone], self.key, self.table, self.docs, self.live), [f.name for f in gone]
 
     def refresh(self, df: DataFrame, names: list[str] | None = None) -> FacetIndex:
         """Rebuilt from df, wholly or for the facets named."""
@@ -95,7 +100,7 @@ class FacetIndex:
         rows = long_form(df, self.key, some)
         if names is not None:
             rows = rows.unionByName(self.rows.where(~F.col("facet_id").isin(*[f.id for f in some])))
-        return FacetIndex(rows, self.facets, self.key, self.table, df)
+        return FacetIndex(rows, self.facets, self.key, self.table, df, names is None)
 
     def write(self, path: str) -> FacetIndex:
         """Store the index by facet and go on from the stored one."""

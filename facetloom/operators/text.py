@@ -38,7 +38,8 @@ class TextIndex:
         analyzer = ANALYZERS[analyzer] if isinstance(analyzer, str) else analyzer
         text = F.col(text) if isinstance(text, str) else text
         rows = df.select(F.col(key).cast("long").alias("doc_id"), text.alias("t")).where("t IS NOT NULL AND t <> ''").select("doc_id", analyzer.tokens(F.col("t")).alias("tokens"))
-        postings = rows.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf")
+        # (explode would add a filter on the tokens' number, and tokenise for it once more)
+        postings = rows.select("doc_id", F.explode_outer("tokens").alias("term")).where("term IS NOT NULL").groupBy("doc_id", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf")
         return cls(postings, rows.select("doc_id", F.size("tokens").cast("long").alias("doc_length")), analyzer)
 
     def cached(self) -> TextIndex:

@@ -62,8 +62,10 @@ class FacetedTable:
     # changes
 
     def change(self, changes: DataFrame) -> None:
-        """Row changes (op, old, new): facets take them as deltas, text is replaced document by document."""
+        """Row changes (op, old, new), one for a key: facets take them as deltas, text is replaced document by document."""
         self.maintained.change(changes)
+        touched = changes.select(F.coalesce(f"old.{self.key}", f"new.{self.key}").alias(self.key))
+        self.df = self.df.join(touched, self.key, "left_anti").select(*self.df.columns).unionByName(changes.where("op <> 'delete'").select("new.*"))
         if self.text is not None:
             gone = changes.where("op = 'delete'").select(F.col(f"old.{self.key}").cast("long").alias("doc_id"))
             here = changes.where("op <> 'delete'").select("new.*")
