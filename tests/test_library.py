@@ -250,4 +250,4 @@ def test_faceted_table(spark):
     t.refresh()
     assert ids(t.bm25_search("red green")) == [3, 4] and ids(t.filter_documents({"kind": "vase"})) == [4]
     assert {r.facet_value for r in t.top_values().collect()} == {"lamp", "table", "vase"} and t.facet_counts("kind").count() == t.count_results().count() == 3
-    assert t.hierarchical_facets()["regular"].count() == 2
+    assert t.hierarchical_facets()["regular"].count() == 3
