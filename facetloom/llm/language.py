@@ -7,8 +7,10 @@ that towards the corpus. All of them come from grouped aggregations over every d
 likelihood for every trigram.
 
 Defined cases: a null or letterless text has no text evidence and is judged by the rest. A null declaration, address or host is no
-evidence. Languages declared by less than ``least_share`` of the documents are not learned, and their declaration is evidence like any
-other. With no learned language (an empty table) everything is "und". Ties go to the language that sorts first. Repeated rows are
+evidence, and a blank or "und" declaration names no language. Every language whose declared texts have ``least_trigrams`` trigrams
+together is learned, whatever its share of the corpus. A language with less text can't be judged by a model of its own, nor fairly by
+those of others: its documents keep their declaration, and have a null posterior. With no learned language documents without a
+declaration are "und". Ties go to the language that sorts first. Repeated rows are
 judged one by one and count each. Only the columns named are read, so extra columns can't clash; ``keep_certain`` returns all columns
 of its input, with lang set to the language found. Texts are read whole.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_chunks, cut, fold_case, join_checked
+from .common import BROADCAST_ROWS, byte_chunks, cut, fold_case, join_checked
 
 BITS = 14
 UND = "und"
@@ -33,6 +35,10 @@ TEMPER = 0.25
 UND_PRIOR = 1e-3
 #: Documents that the prior of the level above weighs as much as.
 SMOOTH = 20.0
+#: Trigrams that a language's model is counted from at least.
+LEAST_TRIGRAMS = 4096
+#: Languages whose counts a task gathers to its end; those of others it passes on chunk by chunk.
+_SLOTS = 64
 
 
 def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,22 +56,36 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, good
 
 
-def _counts(langs: list[str]):
-    code = {lang: i for i, lang in enumerate(langs)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(langs) << BITS, np.int64)
-        for batch in batches:
-            for part, raw, offsets in byte_chunks(batch, "text"):
-                lang = np.array([code.get(x, -1) for x in part.column(1).to_pylist()], np.int64)
-                h, good = trigrams(raw, offsets)
-                doc = np.repeat(lang, np.diff(offsets))[: len(h)]
-                good &= doc >= 0
-                total += np.bincount((doc[good] << BITS) + h[good], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((some >> BITS).astype(np.int32)), pa.array((some & ((1 << BITS) - 1)).astype(np.int32)), pa.array(total[some])], names=["l", "bucket", "n"])
-
-    return run
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts n of the trigrams in each bucket by declared language d."""
+    slot: dict[str, int] = {}
+    total = np.zeros(_SLOTS << BITS, np.int64)
+
+    def rows(names: list[str], key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(key >> BITS)), pa.array((key & ((1 << BITS) - 1)).astype(np.int32)), pa.array(n)], names=["d", "bucket", "n"])
+
+    for batch in batches:
+        for part, raw, offsets in byte_chunks(batch, "text"):
+            said = part.column(1).to_pylist()
+            others: dict[str, int] = {}
+            for x in dict.fromkeys(said):
+                if x is not None and x not in slot:
+                    if len(slot) < _SLOTS:
+                        slot[x] = len(slot)
+                    else:
+                        others[x] = _SLOTS + len(others)
+            code = slot | others
+            h, good = trigrams(raw, offsets)
+            doc = np.repeat(np.array([code.get(x, -1) for x in said], np.int64), np.diff(offsets))[: len(h)]
+            good &= doc >= 0
+            key = (doc[good] << BITS) + h[good]
+            if others:
+                rest, n = np.unique(key[key >= _SLOTS << BITS], return_counts=True)
+                yield rows(list(others), rest - (_SLOTS << BITS), n)
+                key = key[key < _SLOTS << BITS]
+            total[: len(slot) << BITS] += np.bincount(key, minlength=len(slot) << BITS)
+    some = np.flatnonzero(total)
+    yield rows(list(slot), some, total[some])
 
 
 def _scores(table: np.ndarray):
@@ -96,38 +116,45 @@ def _host(address: Column) -> Column:
 class Model:
     """Everything counted from a corpus; ``evidence`` and ``posterior`` apply it."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", declared: str = "lang", address: str | None = None, host: str | None = "source", least_share: float = 1e-3):
+    def __init__(self, docs: DataFrame, text: str = "text", declared: str = "lang", address: str | None = None, host: str | None = "source", least_trigrams: int = LEAST_TRIGRAMS):
         self.text, self.declared, self.address, self.host = text, declared, address, host
-        said = docs.where(F.col(declared).isNotNull()).groupBy(F.col(declared).alias("d")).count()
-        rows = said.withColumn("share", F.col("count") / F.sum("count").over(_everything())).where(F.col("share") >= least_share).select("d").collect()  # 1 / least_share rows at most
-        self.langs = sorted(r[0] for r in rows if r[0] != UND)
+        pairs = docs.select(F.col(text).alias("text"), F.col(declared).alias("d")).where(_names_language("d")).mapInArrow(_counts, "d string, bucket int, n long")
+        pairs = cut(pairs.groupBy("d", "bucket").agg(F.sum("n").alias("n")))
+        learned = pairs.groupBy("d").agg(F.sum("n").alias("all")).where(F.col("all") >= least_trigrams).select("d").collect()
+        self.langs = sorted(r[0] for r in learned)
         self.names = [*self.langs, UND]
-        counts = np.zeros((1 << BITS, len(self.langs)))
+        counts = np.zeros((1 << BITS, len(self.langs)), order="F")
         if self.langs:
-            pairs = docs.select(F.col(text).alias("text"), F.col(declared).alias("d")).mapInArrow(_counts(self.langs), "l int, bucket int, n long")
-            for r in [pairs.groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()]:  # languages x buckets
-                counts[r["bucket"], r["l"]] = r["n"]
+            numbers = docs.sparkSession.createDataFrame(list(enumerate(self.langs)), "l int, d string")
+            r = join_checked(pairs, numbers, ["d"], "inner").select("l", "bucket", "n").toPandas()  # languages x buckets
+            counts[r["bucket"], r["l"]] = r["n"]
         table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * (1 << BITS))) + np.log(1 << BITS)
-        self.table = np.vstack([table, np.zeros((1, len(self.langs)))]).astype(np.float32)
+        self.table = np.asfortranarray(np.vstack([table, np.zeros((1, len(self.langs)))]), np.float32)
         seen = cut(self._scored(docs, []).select("__declared", "__suffix", "__domain", "__host", self._best().alias("best")))
-        each = [F.expr(f"CAST(sum(CASE WHEN best = {i} THEN 1 ELSE 0 END) AS double)").alias(f"n{i}") for i in range(len(self.names))]
         self.k = len(self.names)
-        all_n = np.array([float(x or 0) for x in seen.agg(*each).first()]) + 1
+        best = {r["best"]: r["count"] for r in seen.groupBy("best").count().collect()}
+        total = sum(best.values())
+        all_n = np.array([float(best.get(i, 0)) for i in range(self.k)]) + 1
         all_n[-1] = UND_PRIOR / (1 - UND_PRIOR) * max(all_n[:-1].sum(), 1.0)
         self.prior = (all_n / all_n.sum()).tolist()
+        last = self.k - 1  # "und"
+        array = lambda values: f"array({', '.join(f'{float(x)!r}D' for x in values)})"
+
+        def counted(*by: str) -> DataFrame:
+            """by, n (a map from each language's number to the rows that look like it), known (rows that look like any but "und") and v (rows)."""
+            each = seen.where(F.col(by[0]).isNotNull()).groupBy(*by, "best").agg(F.count("*").cast("double").alias("c"))
+            known = F.sum(F.expr(f"CASE WHEN best BETWEEN 0 AND {last - 1} THEN c ELSE 0D END"))
+            return each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("best", "c"))).alias("n"), known.alias("known"), F.sum("c").alias("v"))
+
         # Evidence of a value v: P(v | language), each language's values smoothed by the corpus' share of v.
-        total = seen.count()
         self.tables = {}
         for name in ("__declared", "__suffix"):
-            by = seen.where(F.col(name).isNotNull()).groupBy(name).agg(*each, F.count("*").cast("double").alias("v"))
-            logs = F.array(*[F.expr(f"ln((n{i} + {SMOOTH}D * v / {max(total, 1)}D) / ({all_n[i]}D + {SMOOTH}D))") if i < self.k - 1 else F.expr(f"ln(v / {max(total, 1)}D)") for i in range(self.k)])
-            self.tables[name] = cut(by.select(name, logs.alias(f"{name}_e")))
-        prior = [f"{p}D" for p in self.prior]
-        share = lambda n, above: [F.expr(f"({n}{i} + {SMOOTH}D * {above[i]}) / ({' + '.join(f'{n}{j}' for j in range(self.k - 1)) or '0'} + {SMOOTH}D)") if i < self.k - 1 else F.lit(self.prior[-1]) for i in range(self.k)]
-        domains = seen.where("__domain IS NOT NULL").groupBy("__domain").agg(*each).select("__domain", F.array(*share("n", prior)).alias("above"))
-        hosts = seen.where("__host IS NOT NULL").groupBy("__host", "__domain").agg(*each).join(domains, "__domain", "left")
-        above = [f"coalesce(above[{i}], {p})" for i, p in enumerate(prior)]
-        logs = F.transform(F.array(*share("n", above)), lambda p: F.log(p))
+            logs = F.expr(f"transform({array(all_n)}, (a, i) -> CASE WHEN i < {last} THEN ln((coalesce(n[i], 0D) + {SMOOTH}D * v / {max(total, 1)}D) / (a + {SMOOTH}D)) ELSE ln(v / {max(total, 1)}D) END)")
+            self.tables[name] = cut(counted(name).select(name, logs.alias(f"{name}_e")))
+        share = lambda above: F.expr(f"transform({above}, (a, i) -> CASE WHEN i < {last} THEN (coalesce(n[i], 0D) + {SMOOTH}D * a) / (known + {SMOOTH}D) ELSE {self.prior[-1]!r}D END)")
+        domains = counted("__domain").select("__domain", share(array(self.prior)).alias("above"))
+        hosts = counted("__host", "__domain").join(domains, "__domain", "left")
+        logs = F.transform(share(f"coalesce(above, {array(self.prior)})"), lambda p: F.log(p))
         self.tables["__host"] = cut(hosts.select("__host", logs.alias("__host_e")))
 
     def _scored(self, docs: DataFrame, carry: list[Column]) -> DataFrame:
@@ -150,10 +177,10 @@ class Model:
         return F.expr("CASE WHEN array_max(__ll) = 0 THEN -1 ELSE array_position(__ll, array_max(__ll)) - 1 END")
 
     def judged(self, docs: DataFrame, carry: list[Column]) -> DataFrame:
-        """The carried columns, ``__found`` and ``__posterior`` of each row; one narrow pass unless a table of hosts is too large to broadcast."""
+        """The carried columns, ``__found`` and ``__posterior`` (null where the declaration stands for want of a model) of each row; one narrow pass unless a table of hosts is too large to broadcast."""
         rows = self._scored(docs, carry)
         for name in ("__declared", "__suffix", "__host"):
-            rows = join_checked(rows, self.tables[name], [name], "left")
+            rows = join_checked(rows, self.tables[name], [name], "left", BROADCAST_ROWS * 8 // max(8, self.k))
         nothing = ", ".join("0D" for _ in range(self.k))
         prior = ", ".join(f"{float(np.log(p))}D" for p in self.prior)
         term = lambda name, other: f"coalesce({name}_e, array({other}))"
@@ -161,24 +188,28 @@ class Model:
         total = add(add(f"transform(__ll, x -> x * {TEMPER}D)", term("__host", prior)), add(term("__declared", nothing), term("__suffix", nothing)))
         rows = rows.withColumn("__log", F.expr(total)).withColumn("__top", F.expr("array_max(__log)"))
         found = F.element_at(F.array(*[F.lit(n) for n in self.names]), F.expr("CAST(array_position(__log, __top) AS int)"))
-        return rows.withColumn("__found", found).withColumn("__posterior", F.expr("1 / aggregate(__log, 0D, (a, x) -> a + exp(x - __top))"))
+        model = ~_names_language("__declared") | F.col("__declared").isin(self.langs)
+        found = F.when(model, found).otherwise(F.col("__declared"))
+        return rows.withColumn("__found", found).withColumn("__posterior", F.when(model, F.expr("1 / aggregate(__log, 0D, (a, x) -> a + exp(x - __top))")))
+
 
+def _names_language(declared: str) -> Column:
+    return F.coalesce((F.trim(declared) != "") & (F.col(declared) != UND), F.lit(False))
 
-def _everything():
-    from pyspark.sql.window import Window
 
-    return Window.partitionBy()
+def _certain(least: float) -> Column:
+    return (F.col("__found") != UND) & F.coalesce(F.col("__posterior") >= least, F.lit(True))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", certain: float = 0.9, **columns) -> DataFrame:
-    """key, declared, language, posterior and keep (a language, with at least that posterior) of each row."""
+    """key, declared, language, posterior and keep (a language, with at least that posterior, or by its declaration) of each row."""
     rows = Model(docs, **columns).judged(docs, [F.col(key).alias(key)])
-    return rows.select(key, F.col("__declared").alias("declared"), F.col("__found").alias("language"), F.col("__posterior").alias("posterior"), ((F.col("__found") != UND) & (F.col("__posterior") >= certain)).alias("keep"))
+    return rows.select(key, F.col("__declared").alias("declared"), F.col("__found").alias("language"), F.col("__posterior").alias("posterior"), _certain(certain).alias("keep"))
 
 
 def keep_certain(docs: DataFrame, certain: float = 0.9, **columns) -> DataFrame:
-    """The rows whose language is certain, with lang set to it."""
+    """The rows whose language is certain or stands by its declaration, with lang set to it."""
     names = docs.columns
     rows = Model(docs, **columns).judged(docs, [F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)])
     declared = columns.get("declared", "lang")
-    return rows.where((F.col("__found") != UND) & (F.col("__posterior") >= certain)).select(*[(F.col("__found") if c == declared else F.col(f"__c{i}")).alias(c) for i, c in enumerate(names)])
+    return rows.where(_certain(certain)).select(*[(F.col("__found") if c == declared else F.col(f"__c{i}")).alias(c) for i, c in enumerate(names)])

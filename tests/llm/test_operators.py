@@ -375,6 +375,34 @@ def test_host_and_suffix_decide_where_text_does_not(spark):
     assert not out[502].keep
 
 
+def test_rare_languages_stay(spark):
+    """A language of a few thousandths of a per cent is learned if it has the text, and stands by its declaration if it hasn't."""
+    rng = random.Random(21)
+    few = "ja nej och inte skog vatten morgon kväll fönster trädgård berg flod gul bord människor bro".split()
+    text = lambda words, n: " ".join(rng.choice(words) + rng.choice(words)[:3] for _ in range(n))
+    rows = [(i, prose(rng, "en" if i % 2 else "de", 30), "en" if i % 2 else "de", "s0") for i in range(9000)]
+    rows += [(20000 + i, text(few, 200), "sv", "s0") for i in range(8)] + [(20008, text(few, 200), None, "s0")]
+    rows += [(30000, "ukuthi abantu bahamba ehlathini ebusuku", "zu", "s0"), (30001, text(few, 60), " ", "s0"), (30002, "123", "und", "s0")]
+    model = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: r for r in language.identify(model).where("doc_id >= 20000").collect()}
+    assert all(out[20000 + i].language == "sv" and out[20000 + i].keep and out[20000 + i].posterior >= 0.9 for i in range(9))
+    assert (out[30000].language, out[30000].posterior, out[30000].keep) == ("zu", None, True)
+    assert out[30001].language == "sv" and not out[30002].language == "zu"
+    kept = {r.doc_id: r.lang for r in language.keep_certain(model).where("doc_id >= 20000").collect()}
+    assert kept[20000] == "sv" and kept[30000] == "zu"
+
+
+def test_many_languages_count_alike(spark, monkeypatch):
+    """Counts of languages beyond a task's slots are passed on, none lost."""
+    rng = random.Random(3)
+    rows = [(i, prose(rng, "en", 20), f"l{i % 7}") for i in range(140)]
+    batch = pa.RecordBatch.from_pylist([{"text": t, "d": d} for _, t, d in rows])
+    tally = lambda: sorted(pa.Table.from_batches(language._counts([batch, batch])).group_by(["d", "bucket"]).aggregate([("n", "sum")]).to_pandas().itertuples(index=False, name=None))
+    want = tally()
+    monkeypatch.setattr(language, "_SLOTS", 3)
+    assert tally() == want and {r[0] for r in want} == {f"l{i}" for i in range(7)}
+
+
 # 9. near copies
 
 
