@@ -100,6 +100,14 @@ def test_estimate_agrees_with_concentration_in_numpy(spark):
     assert (got != far).mean() > 0.98
 
 
+def test_labelled_junk_goes(spark):
+    """On labelled documents at least 95 % of the bad go, and hardly any of the good."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    labelled = quality_mcd.score(read("documents")).join(read("labels"), "doc_id").where("doc_id % 2 = 1")
+    share = {r.quality: r.kept for r in labelled.groupBy("quality").agg(F.avg(F.col("keep").cast("double")).alias("kept")).collect()}
+    assert share[0] <= 0.05 and share[1] >= 0.999
+
+
 def test_outliers_on_awkward_rows(awkward, empty):
     out = quality_mcd.score(awkward).toPandas()
     assert len(out) == 68
