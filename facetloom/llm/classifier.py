@@ -5,11 +5,12 @@ the average of its vectors, and a softmax over (quality, toxic) classes reads it
 driver by numpy stochastic gradient descent with per-coordinate step sizes. To score, each vector is multiplied by the output layer
 once, so a document costs a table lookup and a sum for each feature; texts are scored whole.
 
-Training reads at most ``most_labelled`` labelled documents (those with the least hash of doc_id) and at most ``most_features`` of each,
-evenly spaced over its text; both bounds are parameters and keep the driver's memory fixed. Everything else covers all rows.
+Training reads at most ``most_labelled`` labelled documents (those with the least hash of doc_id, of the labels that have a document); the bound is a
+parameter and keeps the driver's memory fixed. Of each the whole text is learned from: a document is sent as its distinct buckets and their counts,
+of which there are at most 2^BITS however long it is. Everything else covers all rows.
 
 Defined cases: null and blank texts score as the output layer's bias. Labels with nulls, or whose document or text is missing, aren't
-learned from; of several labels for one doc_id each counts. With no labels at all every class is as probable as every other. Ties keep
+learned from; of several labels for one doc_id, and of several documents with it, each counts, in order of hash of id, id, label and text. With no labels at all every class is as probable as every other. Ties keep
 (probability of 0.5 is good enough). Repeated rows and null ids are scored one by one. Only doc_id and text are read, so extra columns can't clash.
 """
 
@@ -28,7 +29,6 @@ BITS = 17
 GRAMS = (3, 4, 5)
 DIM = 8
 MOST_LABELLED = 4000
-MOST_FEATURES = 4000
 #: (quality, toxic) of each class.
 CLASSES = ((0, 0), (1, 0), (0, 1), (1, 1))
 
@@ -58,27 +58,31 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
     return out
 
 
-def _sampled(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, raw, offsets in byte_chunks(batch, "text"):
-                found = features(raw, offsets)
-                at, bucket = (np.concatenate(x) for x in zip(*found, strict=True))
-                order = np.argsort(at, kind="stable")
-                at, bucket = at[order], bucket[order]
-                bounds = np.searchsorted(at, offsets)
-                lists = []
-                for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-                    lists.append(bucket[i:j] if j - i <= most else bucket[i + np.arange(most) * (j - i) // most])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["quality", "toxic", "features"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In place of each text its distinct buckets and their counts, packed, with their number n."""
+    for batch in batches:
+        for part, raw, offsets in byte_chunks(batch, "text"):
+            found = features(raw, offsets)
+            bounds = [np.searchsorted(at, offsets) for at, _ in found]
+            data, size = [], []
+            for i in range(part.num_rows):
+                bucket, n = np.unique(np.concatenate([b[k[i] : k[i + 1]] for (_, b), k in zip(found, bounds, strict=True)]), return_counts=True)
+                data.append(pa.compress(np.concatenate((np.diff(bucket, prepend=0), n)).astype("<i4").tobytes(), "zstd", asbytes=True))
+                size.append(len(bucket))
+            keep = [i for i, name in enumerate(part.schema.names) if name != "text"]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(size, pa.int32()), pa.array(data, pa.binary())], names=[*(part.schema.names[i] for i in keep), "n", "data"])
 
-    return run
 
+def unpack(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets and counts of a document."""
+    both = np.frombuffer(pa.decompress(data, 8 * n, "zstd"), "<i4") if n else np.zeros(0, np.int32)
+    return np.cumsum(both[:n]), both[n:]
 
-def train(lists: list[np.ndarray], classes: np.ndarray, epochs: int = 8, rate: float = 1.0, batch: int = 32, seed: int = 7) -> np.ndarray:
-    """A table of scores, class by class, for each bucket; its last row is the bias."""
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], classes: np.ndarray, epochs: int = 12, rate: float = 3.0, batch: int = 32, seed: int = 7) -> np.ndarray:
+    """A table of scores, class by class, for each bucket; its last row is the bias. ``docs`` are distinct buckets and counts."""
     k = len(CLASSES)
-    if not len(lists):
+    if not len(docs):
         return np.zeros(((1 << BITS) + 1, k), np.float32)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (1 << BITS, DIM)).astype(np.float32)
@@ -87,15 +91,14 @@ def train(lists: list[np.ndarray], classes: np.ndarray, epochs: int = 8, rate: f
     seen_v, seen_o, seen_b = np.full((1 << BITS, DIM), 1e-8, np.float32), np.full((DIM, k), 1e-8), np.full(k, 1e-8)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        order = rng.permutation(len(lists))
+        order = rng.permutation(len(docs))
         for i in range(0, len(order), batch):
             rows = order[i : i + batch]
-            size = np.array([len(lists[r]) for r in rows])
-            flat = np.concatenate([lists[r] for r in rows])
-            bounds = np.concatenate(([0], np.cumsum(size)))
-            used, code = np.unique(flat, return_inverse=True)
-            own = np.repeat(np.arange(len(rows)), size)
-            part = np.bincount(own * len(used) + code, minlength=len(rows) * len(used)).reshape(len(rows), -1) / np.maximum(size, 1)[:, None]
+            size = [len(docs[r][0]) for r in rows]
+            used, code = np.unique(np.concatenate([docs[r][0] for r in rows]), return_inverse=True)
+            part = np.zeros((len(rows), len(used)), np.float32)
+            part[np.repeat(np.arange(len(rows)), size), code] = np.concatenate([docs[r][1] for r in rows])
+            part /= np.maximum(part.sum(1, keepdims=True), 1)
             mine = vectors[used]
             mean = part @ mine
             z = mean @ output + bias
@@ -103,25 +106,33 @@ def train(lists: list[np.ndarray], classes: np.ndarray, epochs: int = 8, rate: f
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), classes[rows]] -= 1
             p /= len(rows)
+            back = part.T @ (p @ output.T).astype(np.float32)
             for value, seen, grad in ((output, seen_o, mean.T @ p), (bias, seen_b, p.sum(0))):
                 seen += grad * grad
                 value -= step * grad / np.sqrt(seen)
-            grad = part.T @ (p @ output.T)
-            total = seen_v[used] + grad * grad
+            total = seen_v[used] + back * back
             seen_v[used] = total
-            vectors[used] = mine - step * grad / np.sqrt(total)
+            vectors[used] = mine - step * back / np.sqrt(total)
     return np.vstack([vectors @ output, bias]).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES, **how) -> np.ndarray:
+def examples(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Distinct buckets and counts, and the class, of at most ``most_labelled`` labelled documents."""
+    order = [F.xxhash64("__id"), F.col("__id"), F.col("quality"), F.col("toxic")]
+    named = labels.where("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("text IS NOT NULL")
+    there = join_checked(texts.select("__id"), cut(named.select("__id").distinct()), ["__id"], "left_semi").distinct()
+    chosen = cut(named.join(there, "__id", "left_semi").orderBy(*order).limit(most_labelled))
+    rows = join_checked(texts, chosen, ["__id"], "inner").select("__id", "quality", "toxic", F.xxhash64("text").alias("h"), "text")
+    rows = rows.mapInArrow(_counted, "__id long, quality int, toxic int, h long, n int, data binary")
+    got = rows.orderBy(*order, "h").limit(most_labelled).select("quality", "toxic", "n", "data").toArrow()
+    classes = np.array(got.column("quality").to_pylist(), int) + 2 * np.array(got.column("toxic").to_pylist(), int)
+    return [unpack(n, data) for n, data in zip(got.column("n").to_pylist(), got.column("data").to_pylist(), strict=True)], classes
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, **how) -> np.ndarray:
     """The table of scores learned from a bounded sample of the labelled documents."""
-    chosen = labels.where("doc_id IS NOT NULL AND quality IN (0, 1) AND toxic IN (0, 1)").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    chosen = cut(chosen.orderBy(F.xxhash64("__id"), "__id", "quality", "toxic").limit(most_labelled))
-    rows = join_checked(docs.select(F.col("doc_id").alias("__id"), "text").where("text IS NOT NULL"), chosen, ["__id"], "inner").select("__id", "quality", "toxic", "text")
-    got = rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("text")).limit(most_labelled).select("quality", "toxic", "text").mapInArrow(_sampled(most_features), "quality int, toxic int, features array<int>").toArrow()
-    lists = [x.values.to_numpy() if x.values is not None else np.zeros(0, np.int32) for x in got.column("features")]
-    classes = np.array(got.column("quality").to_pylist(), int) + 2 * np.array(got.column("toxic").to_pylist(), int) if lists else np.zeros(0, int)
-    return train(lists, classes, **how)
+    return train(*examples(docs, labels, most_labelled), **how)
 
 
 def _scores(table):

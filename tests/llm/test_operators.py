@@ -290,6 +290,58 @@ def test_classifier_held_out(spark, docs, empty):
     assert classifier.score(empty, table).count() == 0
 
 
+def test_training_against_plain_loops(spark):
+    """The same descent, example by example and bucket by bucket, from whole texts and in double precision."""
+    rng = random.Random(8)
+    texts = [prose(rng, "en", 30) if i % 2 else "zz | " * (i + 1) + prose(rng, "de", 3) for i in range(20)] + ["", "a " * 3000]
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(22)] + [(3, 1, 1)]
+    df, given = frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs, classes = classifier.examples(df, given)
+    assert len(docs) == 23 and sorted(classes.tolist()) == sorted(q + 2 * t for _, q, t in labels)
+    bags = {}
+    for i, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        bags[i] = Counter(int(b) for _, found in (classifier.features(raw, np.array([0, len(raw)])) if len(raw) else []) for b in found)
+    assert sorted(sorted(zip(b.tolist(), n.tolist(), strict=True)) for b, n in docs) == sorted(sorted(bags[i].items()) for i, *_ in labels)
+
+    def slow(docs, classes, epochs, rate, batch=32, seed=7):
+        draw, k, dim = np.random.default_rng(seed), 4, classifier.DIM
+        vectors = draw.uniform(-1 / dim, 1 / dim, (1 << classifier.BITS, dim)).astype(np.float32).astype(float)
+        output = draw.normal(0, 1 / np.sqrt(dim), (dim, k))
+        bias = np.array([math.log(sum(classes == c) + 0.5) for c in range(k)])
+        bias -= bias.mean()
+        sv, so, sb = {}, np.full((dim, k), 1e-8), np.full(k, 1e-8)
+        for epoch in range(epochs):
+            order = draw.permutation(len(docs)).tolist()
+            for i in range(0, len(order), batch):
+                rows, gv, go, gb = order[i : i + batch], {}, np.zeros((dim, k)), np.zeros(k)
+                for r in rows:
+                    bucket, n = docs[r]
+                    total = max(sum(n.tolist()), 1)
+                    mean = sum((c / total * vectors[b] for b, c in zip(bucket.tolist(), n.tolist(), strict=True)), np.zeros(dim))
+                    p = np.exp(mean @ output + bias)
+                    p /= p.sum()
+                    p[classes[r]] -= 1
+                    go, gb = go + np.outer(mean, p) / len(rows), gb + p / len(rows)
+                    for b, c in zip(bucket.tolist(), n.tolist(), strict=True):
+                        gv[b] = gv.get(b, 0) + c / total * (output @ p) / len(rows)
+                so, sb, step = so + go**2, sb + gb**2, rate * (1 - epoch / epochs)
+                output, bias = output - step * go / np.sqrt(so), bias - step * gb / np.sqrt(sb)
+                for b, g in gv.items():
+                    sv[b] = sv.get(b, 1e-8) + g**2
+                    vectors[b] -= step * g / np.sqrt(sv[b])
+        return np.vstack([vectors @ output, bias])
+
+    want, got = slow(docs, classes, 2, 0.5, batch=8), classifier.train(docs, classes, epochs=2, rate=0.5, batch=8)
+    assert np.abs(want - got).max() < 2e-3
+
+
+def test_labels_without_documents_do_not_use_up_the_bound(spark):
+    df = frame(spark, [(i, f"text {i}", None, None) for i in range(10)] + [(3, "again", None, None)])
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(1000)] + [(4, 0, 1)] * 3, "doc_id long, quality int, toxic int")
+    assert len(classifier.examples(df, labels, most_labelled=14)[0]) == 14 and len(classifier.examples(df, labels, most_labelled=100)[0]) == 14
+
+
 def test_features_do_not_cross_words_or_texts():
     texts = [b"abcd ef", b"ghijk", b"", b"ab cdefg"]
     off = np.cumsum([0, *map(len, texts)])
@@ -343,17 +395,56 @@ def test_movement_is_confined(spark):
 # 7. fixity
 
 
+def fixity_rows():
+    rows = [(i, f"http://h/{i}", "payload %d " % i * (i % 50 + 1), "clash") for i in range(9000)]
+    return rows + [(None, None, None, "x"), (None, "http://h/n", "no id", "x"), (50, "http://h/50", "again", "x"), (51, "http://h/51", rows[51][2], "x"), (12288, None, "z" * 300_000, "x")]
+
+
+def fixity_records(spark, rows):
+    return fixity.records(spark.createDataFrame(rows, "page_id long, url string, html string, hash string"))
+
+
 def test_fixity_finds_what_differs(spark):
-    rows = [(i, f"http://h/{i}", "payload %d " % i * (i % 50 + 1), "clash") for i in range(9000)] + [(None, None, None, "x"), (50, "http://h/50", "again", "x")]
-    schema = "page_id long, url string, html string, hash string"
-    a = fixity.records(spark.createDataFrame(rows, schema))
-    damaged = {17: "corrupt", 4095: "corrupt", 4096: "missing", 8000: "missing"}
-    b = fixity.records(spark.createDataFrame([(i, u, h[:-1] + "X" if damaged.get(i) == "corrupt" else h, c) for i, u, h, c in rows], schema)).where("id IS NULL OR id NOT IN (4096, 8000)")
-    got = {r.page_id: r.status for r in fixity.audit(a, b).collect()}
-    assert got == damaged
-    assert {r.page_id: r.status for r in fixity.audit(b, a).collect()} == {k: v if v == "corrupt" else "extra" for k, v in damaged.items()}
+    rows = fixity_rows()
+    a = fixity_records(spark, rows)
+    damage = {17: lambda h: h[:-1] + "X", 4095: lambda h: h[:-1], 300: lambda h: h + "!!", 12288: lambda h: "y" + h[1:]}
+    lost = {4096, 8000, 0}
+    new = [(-1, "http://h/new", "new", ""), (20000, "u", "new", "")]
+    b = fixity_records(spark, [(i, u, damage[i](h) if i in damage else h, c) for i, u, h, c in rows if i not in lost] + new)
+    want = {i: "corrupt" for i in damage} | {i: "missing" for i in lost} | {i: "extra" for i, *_ in new}
+    got = fixity.audit(a, b).collect()
+    assert len(got) == len(want) and {r.page_id: r.status for r in got} == want
+    other = {"corrupt": "corrupt", "missing": "extra", "extra": "missing"}
+    back = fixity.audit(b, a).collect()
+    assert len(back) == len(want) and {r.page_id: r.status for r in back} == {k: other[v] for k, v in want.items()}
     assert fixity.audit(a, a).count() == 0
-    assert fixity.audit(a, a.where("false")).count() == len(rows) and fixity.audit(a.where("false"), a.where("false")).count() == 0
+    assert fixity.audit(a, a.where("false")).count() == len(rows) - 2 and fixity.audit(a.where("false"), a.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("change,status", [(lambda rows: rows[:700] + rows[701:], "missing"), (lambda rows: [*rows[:700], (700, rows[700][1], rows[700][2] + "!!", ""), *rows[701:]], "corrupt"), (lambda rows: [*rows[:700], (700, rows[700][1], rows[700][2][:-3], ""), *rows[701:]], "corrupt")])
+def test_one_damaged_record_is_one_row(spark, change, status):
+    rows = fixity_rows()[:1000]
+    got = fixity.audit(fixity_records(spark, rows), fixity_records(spark, change(rows))).collect()
+    offset = sum(len(fixity_text(r)) for r in rows[:700])
+    assert [(r.page_id, r.offset, r.status) for r in got] == [(700, offset, status)]
+    extra = fixity.audit(fixity_records(spark, rows[:700] + rows[701:]), fixity_records(spark, rows)).collect()
+    assert [(r.page_id, r.offset, r.status) for r in extra] == [(700, offset - len(fixity_text(rows[699])), "extra")]
+
+
+def fixity_text(row):
+    return f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: {row[1]}\r\nWARC-Record-ID: <urn:page:{row[0]}>\r\nContent-Length: {len(row[2])}\r\n\r\n{row[2]}\r\n\r\n"
+
+
+def test_fixity_of_repeated_records(spark):
+    rows = [(1, "u", "same", "")] * 500 + [(None, "u", "no id", "")] * 400 + [(2, "u", "a", ""), (2, "u", "b", "")]
+    a = fixity_records(spark, rows)
+    assert a.count() == 4
+    assert fixity.audit(a, fixity_records(spark, rows[::-1])).count() == 0
+    got = {(r.page_id, r.status) for r in fixity.audit(a, fixity_records(spark, [*rows[1:901], (2, "u", "a", ""), (2, "u", "c", "")])).collect()}
+    assert got == {(1, "missing"), (2, "corrupt")}
+    assert {(r.page_id, r.status) for r in fixity.audit(a, fixity_records(spark, [*rows, (None, "u", "no id", "")])).collect()} == {(None, "extra")}
+    changed = [*rows[:899], (None, "u", "other", ""), *rows[900:]]
+    assert sorted(r.status for r in fixity.audit(a, fixity_records(spark, changed)).collect()) == ["extra", "missing"]
 
 
 # 8. language
