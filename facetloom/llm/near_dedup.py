@@ -1,15 +1,20 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A document's fingerprint has ``SEGMENTS`` segments of ``SEGMENT_BITS`` bits: each bit is the sign of a sum over its words,
-the word's hash giving the sign and its length the weight (short words, which most documents share, weigh little). Two
-documents are near copies if their whole fingerprints differ in at most ``radius`` bits.
-
-Search: every distinct fingerprint is a row of one table for each segment, and every fingerprint asks each table for all values
-within one bit of its own segment (a Hamming ball of 25 values). Matches are verified on the complete fingerprint. Pairs within
-``radius`` = 2 * SEGMENTS - 1 are all found (some segment differs in one bit at most); beyond that, to RADIUS, a pair at distance
-d is missed only if every segment differs in two bits or more. Equal fingerprints are one row of the search however many documents
-have them, so thousands of copies cost no more than two. Groups are connected components of the verified pairs; the smallest
-doc_id of a group stays. To halve the probes, of two values that differ in one bit only the one that has it asks for the other.
+A document's fingerprint has 384 bits: each bit is the sign of a sum over its words, the word's hash giving the sign and its length the weight
+(short words, which most documents share, weigh little). Two documents are near copies if their whole fingerprints differ in at most ``radius`` bits.
+
+Search: the fingerprint is cut into ``SEGMENTS`` segments of ``SEGMENT_BITS`` bits, ``ARRANGEMENTS`` times over, each time with its bits in another
+fixed order; every segment of every arrangement is a table. Every distinct fingerprint is a row of each table and asks each for all values within one bit of
+its own segment (a Hamming ball of 25 values). To halve the probes, of two values that differ in one bit only the one that has it asks for the other.
+The balls are enumerated in two parts: flips of a segment's ``HIGH`` uppermost bits before the shuffle, which goes by those bits, and flips of the rest
+where the table's rows have met. Pairs within 2 * SEGMENTS - 1 = 31 bits are all found (some segment differs in one bit at most); a pair at
+distance d beyond that is missed only if every segment of every arrangement differs in two bits or more.
+
+Groups are connected components of the pairs that are verified on the complete fingerprints, and they are the same as if all pairs that meet in a table
+were verified, but a table's value that a third of all documents share is not squared: first each row that meets a value is verified against the
+least fingerprint with it only, and the components of those links are found. Then, of the rows that meet a value, only those in different
+components need to be compared, which leaves out the members of a large group of near copies. Equal fingerprints are one row of the
+search however many documents have them, so thousands of copies cost no more than two. The smallest doc_id of a group stays.
 
 Defined cases: null and wordless texts have no fingerprint and are no copies of anything. Rows with a null doc_id are kept and
 stay out of groups. Rows with the same doc_id and the same text count as one document; ``keep_one`` keeps one of them.
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +38,11 @@ WORDS = SEGMENTS * SEGMENT_BITS // 64
 #: Most differing bits of near copies: a sixth of all, at which documents share some 87 % of their weighted words.
 RADIUS = 64
 
+#: Orders of the bits in which the segments are cut; each adds as many tables.
+ARRANGEMENTS = 3
+#: Uppermost bits of a segment, by which its table is dealt.
+HIGH = 8
+
 _LANES = np.uint64(0x0001000100010001)
 #: Weight of a word by its length in bytes: at 12 bytes and more it is the largest.
 WEIGHT = np.array([0, 0, 0, 0, 1, 2, 4, 6, 8, 10, 12, 14, 16], np.uint64)
@@ -85,36 +95,60 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text").mapInArrow(_batches, schema)
 
 
-def _segment(i: int) -> Column:
-    """Bits i * SEGMENT_BITS.. of the fingerprint."""
-    at, mask = i * SEGMENT_BITS, (1 << SEGMENT_BITS) - 1
-    word, shift = divmod(at, 64)
-    value = F.shiftrightunsigned(F.col(FINGERPRINT[word]), shift)
-    if shift + SEGMENT_BITS > 64:
-        value = value.bitwiseOR(F.shiftleft(F.col(FINGERPRINT[word + 1]), 64 - shift))
-    return value.bitwiseAND(F.lit(mask).cast("long"))
-
-
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of ids of nodes (id, f0, ..) that have a segment within one bit of each other."""
-    tables = nodes.select("id", F.explode(F.array(*[F.struct(F.lit(i << SEGMENT_BITS).cast("long").alias("t"), _segment(i).alias("v")) for i in range(SEGMENTS)])).alias("s"))
-    tables = tables.select("id", "s.t", "s.v")
-    table = tables.select(F.col("t").bitwiseOR(F.col("v")).alias("key"), F.col("id").alias("y"))
-    flips = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(SEGMENT_BITS)])).alias("bit")
-    probes = tables.select("*", flips).where(F.col("v").bitwiseAND(F.col("bit")) == F.col("bit"))
-    probes = probes.select(F.col("t").bitwiseOR(F.col("v").bitwiseXOR(F.col("bit"))).alias("key"), F.col("id").alias("x"), (F.col("bit") == 0).alias("same"))
-    met = probes.join(table.hint("shuffle_hash"), "key").where("x < y OR (x > y AND NOT same)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def near_pairs(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b, distance of the candidate pairs whose complete fingerprints differ in at most radius bits."""
+def _arranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id and every table's segment, in order of table, as 32-bit numbers."""
+    orders = [np.arange(64 * WORDS)] + [np.random.default_rng(i).permutation(64 * WORDS) for i in range(1, ARRANGEMENTS)]
+    places = 1 << np.arange(SEGMENT_BITS)
+    for batch in batches:
+        f = np.stack([batch.column(1 + w).to_numpy() for w in range(WORDS)], 1)
+        bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
+        values = np.concatenate([bits[:, o].reshape(len(f), SEGMENTS, SEGMENT_BITS) @ places for o in orders], 1).astype(np.int32)
+        ends = pa.array(np.arange(len(f) + 1, dtype=np.int32) * values.shape[1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], names=["id", "v"])
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """key (a table and a value), id, home (its own value), rep: the rows that meet a value of a table that other nodes have, with the least of those."""
+    low = SEGMENT_BITS - HIGH
+    arranged = nodes.select("id", *FINGERPRINT).mapInArrow(_arranged, "id long, v array<int>")
+    own = arranged.select("id", F.posexplode("v").alias("t", "v"))
+    flips = F.explode(F.array(F.lit(0), *[F.lit(1 << i) for i in range(low, SEGMENT_BITS)])).alias("bit")
+    asks = own.select("id", "t", "v", flips).where(F.col("v").bitwiseAND(F.col("bit")) == F.col("bit"))
+    key = F.shiftleft(F.col("t").cast("long"), SEGMENT_BITS).bitwiseOR(F.col("v").bitwiseXOR(F.col("bit")).cast("long"))
+    rows = asks.select(key.alias("key"), "id", (F.col("bit") == 0).alias("home")).withColumn("part", F.shiftright("key", low)).repartition("part")
+    table = rows.where("home").groupBy("part", "key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    flips = F.explode(F.when(F.col("home"), F.array(*[F.lit(b).cast("long") for b in (0, *(1 << i for i in range(low)))])).otherwise(F.array(F.lit(0).cast("long")))).alias("bit")
+    probes = rows.select("part", "key", "id", "home", flips).where(F.col("key").bitwiseAND(F.col("bit")) == F.col("bit"))
+    probes = probes.select("part", F.col("key").bitwiseXOR(F.col("bit")).alias("key"), "id", (F.col("home") & (F.col("bit") == 0)).alias("home"))
+    return probes.join(table.hint("shuffle_hash"), ["part", "key"]).where("id <> rep OR n > 1").select("key", "id", "home", "rep")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
+    """a < b, distance of the distinct pairs whose complete fingerprints differ in at most radius bits."""
     one = lambda n: nodes.select(F.col("id").alias(n), *[F.col(f).alias(f"{n}_{f}") for f in FINGERPRINT])
-    pairs = candidates(nodes).join(one("a"), "a").join(one("b"), "b")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(one("a"), "a").join(one("b"), "b")
     distance = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in FINGERPRINT), F.lit(0))
     return pairs.select("a", "b", distance.alias("distance")).where(F.col("distance") <= radius)
 
 
+def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """node, root (the least of its component) of the nodes (id, f0, ..) that have a near copy; ``nodes`` should be a written table."""
+    met = cut(meetings(nodes))
+    links = cut(_verified(met.where("id <> rep").select(F.col("id").alias("x"), F.col("rep").alias("y")), nodes, radius).select("a", "b"))
+    first = cut(components(links))
+    of = lambda column: first.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
+    placed = join_checked(join_checked(met, of("id"), ["id"]), of("rep"), ["rep"])
+    placed = cut(placed.select("key", "id", "home", "rep", F.coalesce("id_root", "id").alias("root"), F.coalesce("rep_root", "rep").alias("rep_root")))
+    strange = placed.where("root <> rep_root")
+    # a stranger to its value's least node against all that have the value, and those that ask for it against strangers that have it
+    home = placed.where("home").select("key", F.col("id").alias("y"), F.col("root").alias("y_root"))
+    pairs = strange.select("key", F.col("id").alias("x"), "root", "rep").join(home, "key").where("root <> y_root AND y <> rep").select("x", "y")
+    has = strange.where("home").select("key", F.col("id").alias("y"))
+    asks = placed.where("NOT home AND root = rep_root").select("key", F.col("id").alias("x"))
+    more = cut(_verified(pairs.unionByName(asks.join(has, "key").select("x", "y")), nodes, radius).select("a", "b"))
+    return components(links.unionByName(more)) if more.limit(1).count() else first
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its connected component) for the nodes of edges (a, b), by alternating large and small stars."""
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -137,7 +171,7 @@ def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     known = prints.where(F.col("f0").isNotNull() & F.col("doc_id").isNotNull())
     nodes = known.groupBy(*FINGERPRINT).agg(F.min(F.struct("doc_id", "h")).alias("head"), F.max(F.struct("doc_id", "h")).alias("last"))
     nodes = cut(nodes.withColumn("id", F.monotonically_increasing_id()))
-    roots = components(near_pairs(nodes, radius))
+    roots = linked(nodes, radius)
     placed = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     heads = placed.groupBy("root").agg(F.min("head").alias("top"), F.max("last").alias("end")).where(F.col("top") != F.col("end"))
     placed = cut(placed.join(heads, "root").select(*FINGERPRINT, "top"))

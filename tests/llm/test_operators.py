@@ -517,17 +517,61 @@ def copies(seed=11):
     return rows
 
 
-def test_near_pairs_against_all_pairs(spark):
-    prints = near_dedup.fingerprints(frame(spark, copies())).toPandas()
-    f = np.stack([prints[c].to_numpy(np.int64).view(np.uint64) for c in near_dedup.FINGERPRINT], 1)
-    nodes = spark.createDataFrame([(i, *map(int, row.view(np.int64))) for i, row in enumerate(f)], "id long, " + ", ".join(f"{c} long" for c in near_dedup.FINGERPRINT))
-    got = {(r.a, r.b): r.distance for r in near_dedup.near_pairs(nodes).collect()}
-    want = {(i, j): int(np.bitwise_count(f[i] ^ f[j]).sum()) for i in range(len(f)) for j in range(i + 1, len(f))}
-    near = {k: d for k, d in want.items() if d <= near_dedup.RADIUS}
-    assert len(near) > 40 and all(near[k] == d for k, d in got.items())
-    assert len(got) >= 0.9 * len(near)
-    sure = {k for k, d in near.items() if d < 2 * near_dedup.SEGMENTS}
-    assert sure <= set(got)
+def nodes_of(spark, f):
+    return spark.createDataFrame([(i, *map(int, row.view(np.int64))) for i, row in enumerate(f)], "id long, " + ", ".join(f"{c} long" for c in near_dedup.FINGERPRINT))
+
+
+def flipped(rng, row, bits):
+    out = np.unpackbits(row.view(np.uint8), bitorder="little")
+    out[rng.permutation(len(out))[:bits]] ^= 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def parts(pairs, n):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in range(n)}
+
+
+@pytest.mark.parametrize("low,high,least", [(1, 31, 1.0), (32, 48, 0.99), (49, 56, 0.97), (57, 64, 0.93)])
+def test_near_pairs_by_distance(spark, low, high, least):
+    """Pairs of random fingerprints at each distance: all up to 31 bits, and nearly all up to the radius."""
+    rng = np.random.default_rng(low)
+    base = rng.integers(0, 1 << 63, (600, near_dedup.WORDS), dtype=np.int64).view(np.uint64)
+    f = np.concatenate([base, [flipped(rng, row, low + i % (high - low + 1)) for i, row in enumerate(base)]])
+    got = {r.node: r.root for r in near_dedup.linked(near_dedup.cut(nodes_of(spark, f))).collect()}
+    assert all(got[n] == n % 600 for n in got) and len(got) >= 2 * 600 * least
+
+
+def test_components_are_those_of_all_pairs(spark):
+    """A hot group of near copies that drift away from the first, strangers that share its segments, and chains between groups."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (30, near_dedup.WORDS), dtype=np.int64).view(np.uint64)
+    f = [*base, *(flipped(rng, base[0], 12 + i % 18) for i in range(150)), *(flipped(rng, base[1 + i % 29], 30) for i in range(60))]
+    for i in range(60):  # same first words, other rest
+        mixed = rng.integers(0, 1 << 63, near_dedup.WORDS, dtype=np.int64).view(np.uint64)
+        mixed[:3] = base[0][:3]
+        f.append(mixed)
+        f.append(flipped(rng, mixed, 25))
+    for _ in range(12):
+        f.append(flipped(rng, f[-1], 31))
+    f = np.array(f)
+    distance = np.bitwise_count(f[:, None] ^ f[None]).sum(2)
+    want = parts([(int(i), int(j)) for i, j in np.argwhere(distance <= 31) if i < j], len(f))
+    got = {r.node: r.root for r in near_dedup.linked(near_dedup.cut(nodes_of(spark, f)), radius=31).collect()}
+    assert {n: got.get(n, n) for n in range(len(f))} == want
+    size = Counter(want.values())
+    assert set(got) == {n for n in want if size[want[n]] > 1}
+    met = near_dedup.meetings(nodes_of(spark, f))
+    assert met.count() < 150 * len(f) and met.where("home").groupBy("key").count().agg(F.max("count")).first()[0] > 50
 
 
 def test_groups_of_copies(spark, empty):
