@@ -7,11 +7,16 @@ reweighting), and documents whose squared Mahalanobis distance exceeds a chi-squ
 A concentration step is one grouped aggregation: the squared distances fall in narrow logarithmic bins, each bin gathers
 count, sums and products of its vectors, and the bins up to the h-th smallest distance (the last one in part) make the new
 centre and scatter. No group is ever brought to one place, so a source that holds most of the corpus costs no more than others.
+A group's steps end when its scatter's log-determinant falls by less than ``tolerance``; as it is bounded below, they all end.
+
+Every group has an estimate of its own, and so have every language and the corpus, over all their documents. A group's centre and scatter are
+drawn towards its language's, and a language's towards the corpus', by the weight of ``PRIOR`` documents: a group of a few documents is
+judged by its language, one of thousands by itself, and there is no size at which the rule changes.
 
 Defined cases: a null or blank text has no statistics and is rejected with a null distance. Null language or source is a value
-of its own. Groups under ``min_group`` documents take the estimate of their language, and languages under it that of the corpus;
-if that is too small too, nothing is rejected but blank texts. Repeated rows and rows with a null doc_id are judged one by one.
-Ties and constant statistics are handled by a floor under the scatter. Only doc_id, text, lang and source are read, so extra
+of its own. A corpus of one document keeps it. Repeated rows and rows with a null doc_id are judged one by one.
+Ties and constant statistics are handled by a floor under the scatter: in no direction is it less than that of the standard deviations in
+STATISTICS, and where it is more they don't matter. Only doc_id, text, lang and source are read, so extra
 columns can't clash; ``keep_good`` returns all columns of its input.
 """
 
@@ -33,8 +38,10 @@ from .common import byte_chunks, cut, join_checked, per_text, span_hashes, word_
 #: The transformed statistics, and for each a standard deviation below which differences don't count.
 STATISTICS = {"log_words": 0.5, "log_word_length": 0.06, "upper_share": 0.06, "point_share": 0.04, "symbol_share": 0.06, "repeat_share": 0.06, "log_variety": 0.12}
 D = len(STATISTICS)
-#: Share of clean documents beyond the limit, were they normal. Chosen on the labelled rows of sf0.1 with even doc_id, as the least that catches as much there as 1e-3.
+#: Share of clean documents beyond the limit, were they normal. Chosen on the labelled rows of sf0.1 with even doc_id, as the largest of 1e-3, 3e-4, 1e-4, .. that loses no good document there.
 TAIL = 3e-4
+#: Documents that the estimate of the level above weighs as much as.
+PRIOR = 80.0
 X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
@@ -140,29 +147,56 @@ MODEL = T.StructType(
 )
 
 
+FLOOR = np.array(list(STATISTICS.values()))
+
+
 def whiten(scatter: np.ndarray) -> tuple[np.ndarray, float]:
-    """Lower-triangular W with W S W' = 1 and the log-determinant, S being the scatter with the floor added."""
-    s = scatter + np.diag(np.square(list(STATISTICS.values())))
-    low = np.linalg.cholesky(s)
+    """Lower-triangular W with W S W' = 1 and the log-determinant, S being the scatter with no direction's variance below the floor's."""
+    values, vectors = np.linalg.eigh(scatter / np.outer(FLOOR, FLOOR))
+    low = np.linalg.cholesky((vectors * np.maximum(values, 1)) @ vectors.T) * FLOOR[:, None]
     return np.linalg.inv(low), 2 * float(np.log(np.diag(low)).sum())
 
 
+def _centre_and_scatter(n: float, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mean, cov = sums / n, np.zeros((D, D))
+    for (i, j), p in zip(PAIRS, products / n, strict=True):
+        cov[i, j] = cov[j, i] = p - mean[i] * mean[j]
+    return mean, cov
+
+
+def _row(mean: np.ndarray, scatter: np.ndarray) -> list[float]:
+    w, logdet = whiten(scatter)
+    return [logdet, *mean, *(w[i, j] for i in range(D) for j in range(i + 1))]
+
+
 def _model(scale: float):
     """From moments of a subset (n, s_i, p_i_j about 0) to centre and whitening; scale corrects the scatter."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            values = f[M].to_numpy(float)
+            rows = [[g, start, *_row(m, scale * c)] for g, start, n, v in zip(f["g"], f["start"], f["n"], values, strict=True) for m, c in [_centre_and_scatter(max(n, 1e-9), v[:D], v[D:])]]
+            yield pd.DataFrame(rows, columns=MODEL.names)
+
+    return run
+
+
+def _shrunk(scale: float):
+    """From the moments of a group, its language (l_) and the corpus (a_), and the sizes of group and language, to the group's model."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for r in f.itertuples(index=False):
-                n = max(r.n, 1e-9)
-                mean = np.array([getattr(r, f"s{i}") for i in range(D)]) / n
-                cov = np.zeros((D, D))
-                for i, j in PAIRS:
-                    cov[i, j] = cov[j, i] = getattr(r, f"p{i}_{j}") / n - mean[i] * mean[j]
-                cov = (cov + cov.T) / 2
-                low, vec = np.linalg.eigh(cov)
-                w, logdet = whiten(scale * (vec * np.maximum(low, 0)) @ vec.T)
-                rows.append([r.g, r.start, logdet, *mean, *(w[i, j] for i in range(D) for j in range(i + 1))])
+            parts = [(f[f"{x}n"].to_numpy(float), f[[f"{x}{m}" for m in M]].to_numpy(float)) for x in ("a_", "l_", "")]
+            for i, (g, size, size_l) in enumerate(zip(f["g"], f["size"], f["l_size"], strict=True)):
+                mean = scatter = None
+                for (n, v), weight in zip(parts, (0, size_l, size), strict=True):
+                    if n[i] > 0:  # no document may lie within the limit of a centre between two that are far apart
+                        m, c = _centre_and_scatter(n[i], v[i, :D], v[i, D:])
+                        w = 1.0 if mean is None else weight / (weight + PRIOR)
+                        mean, scatter = (m, scale * c) if mean is None else (w * m + (1 - w) * mean, w * scale * c + (1 - w) * scatter)
+                if mean is not None:
+                    rows.append([g, 0, *_row(mean, scatter)])
             yield pd.DataFrame(rows, columns=MODEL.names)
 
     return run
@@ -182,35 +216,21 @@ def _moments(x: list[str]) -> list[Column]:
 M = [f"s{i}" for i in range(D)] + [f"p{i}_{j}" for i, j in PAIRS]
 
 
-def estimate(stats: DataFrame, min_group: int = 80, share: float = 0.75, most_steps: int = 12, tolerance: float = 1e-4) -> tuple[DataFrame, DataFrame]:
-    """The groups (``__lang``, ``__source`` -> g) and their models (MODEL, of reweighted MCD estimates).
+def estimate(stats: DataFrame, share: float = 0.75, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+    """The groups (``__lang``, ``__source`` -> g) and their models (MODEL, of reweighted MCD estimates drawn towards those of language and corpus).
 
     ``stats`` is read once a step, so it should be a written table. ``share`` of a group's documents make the concentrated subset.
     """
     known = stats.where(F.col("x0").isNotNull())
-    sizes = known.groupBy("__lang", "__source").agg(F.count("*").alias("n"))
-    by_lang = Window.partitionBy("__lang")
     name = lambda *parts: F.concat_ws("\1", *parts)
-    everything = known.agg(F.count("*")).first()[0]
-    groups = cut(
-        sizes.withColumn("n_lang", F.sum("n").over(by_lang)).select(
-            "__lang",
-            "__source",
-            F.when(F.col("n") >= min_group, name(F.lit("s"), "__lang", "__source"))
-            .when(F.col("n_lang") >= min_group, name(F.lit("l"), "__lang"))
-            .when(F.lit(everything >= min_group), F.lit("all"))
-            .alias("g"),
-        )
-    )
-    # A group that others fall back to is estimated over all its documents, also those that have estimates of their own.
-    wide = groups.where("g LIKE 'l%'").select("__lang", "g").distinct()
-    levels = groups.where("g LIKE 's%'").unionByName(groups.select("__lang", "__source").join(wide, "__lang").select("__lang", "__source", "g"))
-    if groups.where("g = 'all'").limit(1).count():
-        levels = levels.unionByName(groups.select("__lang", "__source", F.lit("all").alias("g")))
-    data = join_checked(known, cut(levels), ["__lang", "__source"], "inner").select("g", *X)
+    of_source, of_lang, of_all = name(F.lit("s"), "__lang", "__source"), name(F.lit("l"), "__lang"), F.lit("a")
+    sizes = cut(known.groupBy("__lang", "__source").agg(F.count("*").alias("size")))
+    groups = sizes.select("__lang", "__source", of_source.alias("g"))
+    levels = sizes.select("__lang", "__source", F.explode(F.array(of_source, of_lang, of_all)).alias("g"))
+    data = join_checked(known, levels, ["__lang", "__source"], "inner").select("g", *X)
 
     centre = data.groupBy("g").agg(*[F.expr(f"percentile_approx({x}, array(0.25, 0.5, 0.75), 1000) AS q{i}") for i, x in enumerate(X)])
-    centre = cut(centre.select("g", *[F.expr(f"q{i}[1] AS c{i}") for i in range(D)], *[F.expr(f"(q{i}[2] - q{i}[0]) / 1.349D + {floor}D AS d{i}") for i, floor in enumerate(STATISTICS.values())]))
+    centre = cut(centre.select("g", *[F.expr(f"q{i}[1] AS c{i}") for i in range(D)], *[F.expr(f"greatest((q{i}[2] - q{i}[0]) / 1.349D, {floor}D) AS d{i}") for i, floor in enumerate(STATISTICS.values())]))
 
     # Starts: 0, the coordinates' medians and quartile ranges; 1, the correlations of tanh-compressed scores.
     z = [f"tanh((x{i} - c{i}) / d{i})" for i in range(D)]
@@ -238,16 +258,26 @@ def estimate(stats: DataFrame, min_group: int = 80, share: float = 0.75, most_st
     for _ in range(2):
         model = step(model)
     best = Window.partitionBy("g").orderBy("logdet", "start")
-    model = cut(model.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k"))
-    for _ in range(most_steps):
-        old, model = model, step(model)
-        change = model.alias("a").join(old.alias("b"), "g").agg(F.max(F.abs(F.col("a.logdet") - F.col("b.logdet")))).first()[0]
-        if change is None or change < tolerance:
-            break
+    active = cut(model.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k"))
+    ended = []
+    while active.limit(1).count():
+        new = step(active).withColumnsRenamed({c: f"new_{c}" for c in MODEL.names if c != "g"})
+        both = cut(active.join(new, "g"))
+        falls = F.col("new_logdet") < F.col("logdet") - tolerance
+        ended.append(both.where(~falls).select(MODEL.names))
+        active = both.where(falls).select("g", *[F.col(f"new_{c}").alias(c) for c in MODEL.names if c != "g"])
+    model = ended[0] if ended else active
+    for rows in ended[1:]:
+        model = model.unionByName(rows)
 
     limit = chi_square_quantile(0.975, D)
-    inside = join_checked(data, model, ["g"], "inner").where(distance() <= limit).groupBy("g", "start").agg(F.count("*").cast("double").alias("n"), *_moments(X))
-    return groups, cut(inside.mapInPandas(_model(0.975 / chi_square_cdf(limit, D + 2)), MODEL))
+    inside = join_checked(data, cut(model), ["g"], "inner").where(distance() <= limit)
+    inside = cut(inside.groupBy("g").agg(F.count("*").cast("double").alias("n"), *_moments(X)))
+    over = lambda x, key: inside.withColumnsRenamed({c: f"{x}{c}" for c in ("n", *M)} | {"g": key})
+    langs = sizes.groupBy("__lang").agg(F.sum("size").alias("l_size"))
+    rows = sizes.join(langs, "__lang").select(of_source.alias("g"), of_lang.alias("g_l"), of_all.alias("g_a"), "size", "l_size")
+    rows = rows.join(inside, "g", "left").join(over("l_", "g_l"), "g_l", "left").join(over("a_", "g_a"), "g_a", "left")
+    return groups, cut(rows.select("g", "size", "l_size", *[f"{x}{c}" for x in ("", "l_", "a_") for c in ("n", *M)]).mapInPandas(_shrunk(0.975 / chi_square_cdf(limit, D + 2)), MODEL))
 
 
 def judge(stats: DataFrame, groups: DataFrame, model: DataFrame, tail: float = TAIL) -> DataFrame:

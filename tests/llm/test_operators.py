@@ -81,23 +81,93 @@ def test_outlier_distances_match_direct_computation(spark, docs):
         assert abs(((w @ x) ** 2).sum() - r.distance2) < 1e-6 * (1 + r.distance2)
 
 
+def slow_mcd(x, lang, source):
+    """Squared distances by the rule, with each group's vectors sorted at every step; the starts and the steps' end are the operator's."""
+    d, share, floor = quality_mcd.D, 0.75, quality_mcd.FLOOR
+    chi, cdf = quality_mcd.chi_square_quantile, quality_mcd.chi_square_cdf
+    limit = chi(0.975, d)
+
+    def whiten(scatter):
+        values, vectors = np.linalg.eigh(scatter / np.outer(floor, floor))
+        full = vectors @ np.diag(np.maximum(values, 1)) @ vectors.T * np.outer(floor, floor)
+        return np.linalg.inv(full), np.linalg.slogdet(full)[1]
+
+    def far(x, mean, inverse):
+        return np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean)
+
+    def moments(x, weight):
+        mean = weight @ x / weight.sum()
+        return mean, (x - mean).T @ ((x - mean) * weight[:, None]) / weight.sum()
+
+    def level(x):
+        middle = np.median(x, 0)
+        scale = np.maximum((np.quantile(x, 0.75, axis=0) - np.quantile(x, 0.25, axis=0)) / 1.349, floor)
+        z = np.tanh((x - middle) / scale)
+        corr = (z - z.mean(0)).T @ (z - z.mean(0)) / len(z)
+        unit = np.sqrt(np.diag(corr) + 1e-6)
+
+        def step(model):
+            order = np.argsort(far(x, *model[1:]), kind="stable")
+            weight = np.zeros(len(x))
+            weight[order] = np.clip(share * len(x) - np.arange(len(x)), 0, 1)
+            mean, cov = moments(x, weight)
+            inverse, logdet = whiten(cov * share / cdf(chi(share, d), d + 2))
+            return logdet, mean, inverse
+
+        models = [(0, middle, whiten(start)[0]) for start in (np.diag(scale**2), corr / np.outer(unit, unit) * np.outer(scale, scale))]
+        model = min((step(step(m)) for m in models), key=lambda m: m[0])
+        while (new := step(model))[0] < model[0] - 1e-3:
+            model = new
+        inside = far(x, *model[1:]) <= limit
+        if not inside.any():
+            return None
+        mean, cov = moments(x[inside], np.ones(inside.sum()))
+        return mean, cov * 0.975 / cdf(limit, d + 2)
+
+    def drawn(own, above, n):
+        w = n / (n + quality_mcd.PRIOR)
+        return above if own is None else own if above is None else tuple(w * a + (1 - w) * b for a, b in zip(own, above, strict=True))
+
+    top, out = level(x), np.full(len(x), np.nan)
+    for one in set(lang):
+        middle = drawn(level(x[lang == one]), top, (lang == one).sum())
+        for name in set(source[lang == one]):
+            rows = (lang == one) & (source == name)
+            model = drawn(level(x[rows]), middle, rows.sum())
+            if model is not None:
+                out[rows] = far(x[rows], model[0], whiten(model[1])[0])
+    return out
+
+
+def agree(got, want, least=0.99):
+    """Nearly the same verdicts, and distances that differ by the width of the bins only."""
+    limit = quality_mcd.chi_square_quantile(1 - quality_mcd.TAIL, quality_mcd.D)
+    assert np.isnan(got).tolist() == np.isnan(want).tolist()
+    assert ((got <= limit) == (want <= limit)).mean() >= least
+    assert np.median(np.abs(got - want) / (1 + want)) < 0.03
+
+
 def test_estimate_agrees_with_concentration_in_numpy(spark):
-    rows = corpus(200, 3)
-    junk = [(1000 + i, "!!## %% " * 40, "en", "s1", 0, "", "", 0.0, "") for i in range(12)]
-    df = frame(spark, [(r[0], r[1], "en", "s1", *r[4:]) for r in rows if r[2] == "en"] + junk)
+    """Groups of 400, 200, 3 and 1 documents, with junk."""
+    rows = [(r[0], r[1], r[2], "big" if r[2] == "en" else r[3], *r[4:]) for r in corpus(800, 3) if r[2] == "en" or r[0] % 4 == 0]
+    junk = [(1000 + i, "!!## %% " * 40, "en", "big", 0, "", "", 0.0, "") for i in range(25)]
+    few = [(1100 + i, prose(random.Random(i), "de", 80) if i < 3 else "## !! " * 50, "de", "few" if i < 3 else "lone", 0, "", "", 0.0, "") for i in range(4)]
+    df = frame(spark, rows + junk + few)
     stats = quality_mcd.statistics(df, ["doc_id"]).toPandas()
-    x = stats[quality_mcd.X].to_numpy()
-    share, d = 0.75, quality_mcd.D
-    consistency = share / quality_mcd.chi_square_cdf(quality_mcd.chi_square_quantile(share, d), d + 2)
-    h = int(share * len(x))
-    keep = np.argsort(((x - np.median(x, 0)) ** 2 / (np.array(list(quality_mcd.STATISTICS.values())) + 0.3) ** 2).sum(1))[:h]
-    for _ in range(50):
-        mean, cov = x[keep].mean(0), np.cov(x[keep].T, bias=True) * consistency
-        w, _ = quality_mcd.whiten(cov)
-        keep = np.argsort((((x - mean) @ w.T) ** 2).sum(1))[:h]
-    far = (((x - mean) @ w.T) ** 2).sum(1) > quality_mcd.chi_square_quantile(1 - 1e-6, d)
-    got = quality_mcd.score(df).toPandas().set_index("doc_id").loc[stats["doc_id"], "keep"].to_numpy()
-    assert (got != far).mean() > 0.98
+    want = slow_mcd(stats[quality_mcd.X].to_numpy(), stats["__lang"].to_numpy(), stats["__source"].to_numpy())
+    got = quality_mcd.score(df).toPandas().set_index("doc_id").loc[stats["doc_id"]]
+    agree(got["distance2"].to_numpy(float), want)
+    assert not got.loc[[1000 + i for i in range(25)] + [1103], "keep"].any() and got.loc[[1100, 1101, 1102], "keep"].all()
+
+
+@pytest.mark.parametrize("n", [20, 60, 100])
+def test_junk_goes_from_small_corpora(spark, n):
+    """There is no size below which nothing is judged."""
+    rng = random.Random(n)
+    rows = [(i, prose(rng, "en", rng.randint(40, 160)), "en", f"s{i % 5}") for i in range(n)] + [(n, "## !! %% " * 60, "en", "s0")]
+    out = quality_mcd.score(frame(spark, rows)).toPandas().set_index("doc_id")
+    assert not out.keep[n] and out.keep[:n].mean() > 0.95 and out.distance2.notna().all()
+    assert quality_mcd.score(frame(spark, rows[:1])).first().keep
 
 
 def test_labelled_junk_goes(spark):

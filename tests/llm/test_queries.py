@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from facetloom.llm import classifier, language, near_dedup, packing, quality_mcd, queries, syncmers, token_counts, vocabulary
 
-from .test_operators import slow_anchors
+from .test_operators import slow_anchors, slow_mcd
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no tables")
@@ -32,40 +32,17 @@ def run(spark, name):
     return queries.QUERIES[name](spark, SF).collect()
 
 
-def test_outliers(spark, texts):
-    stats = quality_mcd.statistics(spark.read.parquet(f"{SF}/documents.parquet"), ["doc_id"]).where("x0 IS NOT NULL").toPandas()
-    x, d, share = stats[quality_mcd.X].to_numpy(), quality_mcd.D, 0.75
-    lang = stats["__lang"].to_numpy()
-    many = {k for k, n in Counter(zip(lang, stats["__source"], strict=True)).items() if n >= 80}
-    assert not many  # all fall back to their language or to everything
-    keep = np.zeros(len(x), bool)
-
-    def fit(x):
-        floor = np.array(list(quality_mcd.STATISTICS.values()))
-        middle = np.median(x, 0)
-        scale = (np.quantile(x, 0.75, axis=0) - np.quantile(x, 0.25, axis=0)) / 1.349 + floor
-        squashed = np.corrcoef(np.tanh((x - middle) / scale).T)
-        best = None
-        for cov in (np.diag(scale**2), squashed * np.outer(scale, scale)):
-            w, _ = quality_mcd.whiten(cov)
-            mean, correction = middle, share / quality_mcd.chi_square_cdf(quality_mcd.chi_square_quantile(share, d), d + 2)
-            for _ in range(30):
-                inner = np.argsort((((x - mean) @ w.T) ** 2).sum(1))[: int(share * len(x))]
-                mean = x[inner].mean(0)
-                w, logdet = quality_mcd.whiten(np.cov(x[inner].T, bias=True) * correction)
-            best = min(best or (logdet, mean, w), (logdet, mean, w), key=lambda b: b[0])
-        _, mean, w = best
-        limit = quality_mcd.chi_square_quantile(0.975, d)
-        inner = (((x - mean) @ w.T) ** 2).sum(1) <= limit
-        w, _ = quality_mcd.whiten(np.cov(x[inner].T, bias=True) * 0.975 / quality_mcd.chi_square_cdf(limit, d + 2))
-        return x[inner].mean(0), w
-
-    for name in set(lang):
-        own = lang == name
-        mean, w = fit(x[own] if own.sum() >= 80 else x)
-        keep[own] = (((x[own] - mean) @ w.T) ** 2).sum(1) <= quality_mcd.chi_square_quantile(1 - 1e-6, d)
-    got = {r.doc_id for r in run(spark, "op1_quality_mcd")}
-    assert np.mean([(i in got) == k for i, k in zip(stats["doc_id"], keep, strict=True)]) >= 0.97
+def test_outliers(spark):
+    """At sf0.01, where some groups have hundreds of documents and some a few."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    stats = quality_mcd.statistics(docs, ["doc_id"]).where("x0 IS NOT NULL").toPandas()
+    want = slow_mcd(stats[quality_mcd.X].to_numpy(), stats["__lang"].to_numpy(), stats["__source"].to_numpy())
+    rows = {r.doc_id: r.distance2 for r in queries.op1_quality_mcd(spark, "/root/testdata/sf0.01").collect()}
+    limit = quality_mcd.chi_square_quantile(1 - quality_mcd.TAIL, quality_mcd.D)
+    ids, keep = stats["doc_id"].to_numpy(), want <= limit
+    assert set(rows) <= set(ids) and np.mean([(i in rows) == k for i, k in zip(ids, keep, strict=True)]) >= 0.99
+    both = [(rows[i], w) for i, w in zip(ids, want, strict=True) if i in rows]
+    assert np.median([abs(g - w) / (1 + w) for g, w in both]) < 0.03
 
 
 def test_bpe(spark, texts, encoding):
