@@ -194,7 +194,7 @@ def _shrunk(scale: float):
                     if n[i] > 0:  # no document may lie within the limit of a centre between two that are far apart
                         m, c = _centre_and_scatter(n[i], v[i, :D], v[i, D:])
                         w = 1.0 if mean is None else weight / (weight + PRIOR)
-                        mean, scatter = (m, scale * c) if mean is None else (w * m + (1 - w) * mean, w * scale * c + (1 - w) * scatter)
+                        mean, scatter = (m, scale * c * (1 + (D + 1) / n[i])) if mean is None else (w * m + (1 - w) * mean, w * scale * c + (1 - w) * scatter)
                 if mean is not None:
                     rows.append([g, 0, *_row(mean, scatter)])
             yield pd.DataFrame(rows, columns=MODEL.names)
