@@ -4,7 +4,9 @@ Texts are split into pre-tokens in Spark. A block is a stretch of a scan's rows;
 word of each text in order, the word's position in the list. The blocks' lists are dealt by hash of the word, so that every distinct word
 of the corpus meets all its mentions in one place (the distinct-word table) and is encoded once; its ids go back to the block and the
 position that asked. What is shuffled is the lists, a fraction of the text, and the positions, never a row for each word of the corpus.
-The scan runs twice and must come in the same order both times, as files do; a block's checksum is compared, and a mismatch is an error.
+The texts are read and split once: lists and positions leave by one shuffle, that both the table and the blocks read. A place takes its lists one
+after another and keeps only its distinct words with their ids. The input may come in any order; if an executor is lost while an
+input that itself comes from a shuffle is read, a block's checksum can differ from its lists', which is an error, never a wrong result.
 
 Decoding joins ids to the vocabulary's pieces: the piece table is as large as the vocabulary, whatever the corpus, and goes to every
 worker, where the ids of a batch gather their pieces at once.
@@ -32,7 +34,8 @@ from .common import mix, span_hashes
 
 #: Words of a block; a text of more is a block of its own.
 BLOCK = 1_500_000
-MOST_PLACES = 1 << 16
+#: Places of the distinct-word table for each partition of the scan, and least number of them.
+PLACES = 4, 12
 
 
 def _packed(*arrays: pa.Array) -> bytes:
@@ -97,34 +100,55 @@ def _check(h: pa.Array) -> int:
     return zlib.crc32(np.ascontiguousarray(h.fill_null(0).to_numpy(zero_copy_only=False)).tobytes())
 
 
-def _asks(places: int):
+MIXED = "k long, part int, number int, crc long, data binary"
+
+
+def _split(places: int):
+    """For each block its list of distinct words, place by place (k: the place), and its texts as positions in the lists (k < 0: the block)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, _, h, flat, _, _ in _blocks(batches):
-            _, words, order, bounds = _distinct(flat, places)
+        for number, doc, h, flat, sizes, valid in _blocks(batches):
+            codes, words, order, bounds = _distinct(flat, places)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))  # the order in which the places' answers lie
             at = np.flatnonzero(np.diff(bounds))
-            lists = [_packed(words.take(pa.array(order[bounds[p] : bounds[p + 1]]))) for p in at]
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, number, np.int32)), pa.array(np.full(n, _check(h), np.int64)), pa.array(lists, pa.binary())], names=["place", "part", "number", "crc", "words"])
+            data = [_packed(words.take(pa.array(order[bounds[p] : bounds[p + 1]]))) for p in at]
+            data.append(_packed(doc, h, valid, _planes(sizes), _planes(rank[codes] if len(codes) else codes)))
+            n = len(data)
+            keys = np.append(at, -1 - (part << 31 | number))
+            same = lambda x, kind, n=n: pa.array(np.full(n, x, kind))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), same(part, np.int32), same(number, np.int32), same(_check(h), np.int64), pa.array(data, pa.binary())], names=["k", "part", "number", "crc", "data"])
 
     return run
 
 
 def _answers(ranks):
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = vocabulary.encoder(ranks.value)
-        lists = [_unpacked(x)[0] for x in table.column("words").to_pylist()]
-        codes = pa.concat_arrays(lists).dictionary_encode()
-        ids = [encode(w) for w in codes.dictionary.to_pylist()]  # each distinct word once
-        flat = np.fromiter((i for x in ids for i in x), np.int64)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        start = np.concatenate(([0], np.cumsum(size)))
-        code, out, i = codes.indices.to_numpy(zero_copy_only=False), [], 0
-        for x in lists:
-            c = code[i : i + len(x)]
-            out.append(_packed(_planes(size[c]), _planes(flat[_ranges(start[c], size[c])])))
-            i += len(x)
-        return table.drop_columns(["words"]).append_column("ids", pa.array(out, pa.binary()))
+        known: dict[bytes, int] = {}  # the place's distinct words, each encoded once
+        size, flat = np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+        start, filled = np.zeros(1024, np.int64), 0
+        for batch in batches:
+            out = []
+            for data in batch.column(4).to_pylist():
+                words = _unpacked(data)[0].to_pylist()
+                code = np.empty(len(words), np.int64)
+                for i, w in enumerate(words):
+                    c = known.get(w)
+                    if c is None:
+                        c = known[w] = len(known)
+                        ids = encode(w)
+                        if c == len(size):
+                            size, start = np.resize(size, 2 * c), np.resize(start, 2 * c)
+                        while filled + len(ids) > len(flat):
+                            flat = np.resize(flat, 2 * len(flat))
+                        size[c], start[c] = len(ids), filled
+                        flat[filled : filled + len(ids)] = ids
+                        filled += len(ids)
+                    code[i] = c
+                out.append(_packed(_planes(size[code]), _planes(flat[_ranges(start[code], size[code])])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in (1, 2, 3)), pa.array(out, pa.binary())], names=["place", "part", "number", "crc", "ids"])
 
     return run
 
@@ -136,22 +160,9 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (end - size), size)
 
 
-def _texts(places: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, doc, h, flat, sizes, valid in _blocks(batches):
-            codes, _, order, _ = _distinct(flat, places)
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))  # the order in which the places' answers lie
-            data = _packed(doc, h, valid, _planes(sizes), _planes(rank[codes] if len(codes) else codes))
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([_check(h)], pa.int64()), pa.array([data], pa.binary())], names=["part", "number", "crc", "data"])
-
-    return run
-
-
 def _joined(texts: pa.Table, answers: pa.Table) -> pa.Table:
     if texts.num_rows != 1 or len(set(answers.column("crc").to_pylist()) - {texts.column("crc")[0].as_py()}):
-        raise RuntimeError("the documents came in another order when they were read again; encode a written table")
+        raise RuntimeError("an executor was lost and the documents came in another order when they were read again; encode a written table")
     doc, h, valid, sizes, codes = _unpacked(texts.column("data")[0].as_py())
     parts = [_unpacked(x) for _, x in sorted(zip(answers.column("place").to_pylist(), answers.column("ids").to_pylist(), strict=True))]
     size = np.concatenate([_whole(p[0]) for p in parts] or [np.zeros(0, np.uint32)]).astype(np.int64)
@@ -165,14 +176,17 @@ def _joined(texts: pa.Table, answers: pa.Table) -> pa.Table:
 
 
 def encode(docs: DataFrame, path: str = vocabulary.PATH) -> DataFrame:
-    """doc_id, h (xxhash64 of the text) and ids of every row. docs must be read in the same order each time: files, or a written table."""
+    """doc_id, h (xxhash64 of the text) and ids of every row."""
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), vocabulary.split_words(F.col("text")).alias("words"))
-    places = min(MOST_PLACES, 4 * docs.rdd.getNumPartitions() + 12)
+    each, least = PLACES
+    places = each * docs.rdd.getNumPartitions() + least
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary.load(path))
-    asks = words.mapInArrow(_asks(places), "place int, part int, number int, crc long, words binary")
-    answers = asks.groupBy("place").applyInArrow(_answers(ranks), "place int, part int, number int, crc long, ids binary")
-    texts = words.mapInArrow(_texts(places), "part int, number int, crc long, data binary")
-    return texts.groupBy("part", "number").cogroup(answers.groupBy("part", "number")).applyInArrow(_joined, "doc_id long, h long, ids array<int>")
+    mixed = words.mapInArrow(_split(places), MIXED).repartition("k")
+    # rand() keeps the conditions above the shuffle, so that there is one for both
+    only = lambda condition: mixed.where(F.expr(f"CASE WHEN rand(1) < 2 THEN {condition} END"))
+    answers = only("k >= 0").groupBy("k").applyInArrow(_answers(ranks), "place long, part int, number int, crc long, ids binary")
+    answers = answers.withColumn("k", -1 - F.shiftleft(F.col("part").cast("long"), 31).bitwiseOR(F.col("number").cast("long")))
+    return only("k < 0").groupBy("k").cogroup(answers.groupBy("k")).applyInArrow(_joined, "doc_id long, h long, ids array<int>")
 
 
 def _pieces(ranks):

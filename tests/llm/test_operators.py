@@ -220,6 +220,14 @@ def test_bpe_agrees_over_many_blocks(spark, docs, encoding, monkeypatch):
     assert len(rows) == len(texts) and all(list(r.ids) == encoding.encode_ordinary(texts[r.doc_id]) for r in rows)
 
 
+def test_bpe_of_shuffled_input(spark, docs, encoding):
+    shuffled = docs.repartition(3).join(docs.select(F.col("doc_id").alias("other")), F.col("doc_id") == F.col("other")).repartition(5)
+    encoded = bpe.encode(shuffled)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: list(r.ids) for r in encoded.collect()} == {i: encoding.encode_ordinary(t) for i, t in texts.items()}
+    assert "ReusedExchange" in encoded._jdf.queryExecution().executedPlan().toString() or spark.conf.get("spark.sql.adaptive.enabled") != "true"
+
+
 def test_decoding_bad_ids_and_empty(spark, empty):
     df = spark.createDataFrame([(1, [262]), (2, [262, None]), (3, [10**6]), (4, [-1]), (5, []), (6, None)], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded and bytes(r.decoded) for r in bpe.decode(df).collect()} == {1: b" the", 2: None, 3: None, 4: None, 5: b"", 6: None}
