@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,31 +47,55 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut`` writes in this block are deleted at its end; results made in it must be written in it."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for folder in _WRITTEN.pop():
+            delete(spark, folder)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute df once, as a table written in the shared folder, and go on from there: a lost executor costs no lineage.
 
-    (checkpoint() computes its last stage twice.) The tables stay until ``clear`` or the end of the application's folder.
+    (checkpoint() computes its last stage twice.) The tables stay until the end of the ``scratch`` block around, or until ``clear``.
     """
     folder = f"{work_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def work_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/facetloom-{spark.sparkContext.applicationId}"
 
 
 def clear(spark: SparkSession) -> None:
     """Delete what ``cut`` has written in this application; DataFrames made from it can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, work_dir(spark))
+
+
+def checked(right: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """right, which should be written or cheap, to be joined to a larger table, and its rows (``most`` + 1 if they are more): it is broadcast only if it has at most ``most``, else both sides are shuffled."""
+    n = right.limit(most + 1).count()
+    return F.broadcast(right) if n <= most else right.hint("shuffle_hash"), n
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join; right, which should be checkpointed or cheap, is broadcast only if it has at most ``most`` rows, else both sides are shuffled."""
-    if right.limit(most + 1).count() <= most:
-        return left.join(F.broadcast(right), on, how)
-    return left.join(right.hint("shuffle_hash"), on, how)
+    """Join with a ``checked`` right side."""
+    return left.join(checked(right, most)[0], on, how)
 
 
 def byte_chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

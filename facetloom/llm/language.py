@@ -88,10 +88,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(list(slot), some, total[some])
 
 
-def _scores(table: np.ndarray):
+def _scores(sent):
     """Adds ll: the log-likelihood of the text under each column of table, less that under "und"."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
         width = table.shape[1]
         for batch in batches:
             for part, raw, offsets in byte_chunks(batch, "__text"):
@@ -130,6 +131,7 @@ class Model:
             counts[r["bucket"], r["l"]] = r["n"]
         table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * (1 << BITS))) + np.log(1 << BITS)
         self.table = np.asfortranarray(np.vstack([table, np.zeros((1, len(self.langs)))]), np.float32)
+        self.sent = docs.sparkSession.sparkContext.broadcast(self.table)
         seen = cut(self._scored(docs, []).select("__declared", "__suffix", "__domain", "__host", self._best().alias("best")))
         self.k = len(self.names)
         best = {r["best"]: r["count"] for r in seen.groupBy("best").count().collect()}
@@ -170,7 +172,7 @@ class Model:
             F.col(self.text).alias("__text"),
         )
         schema = T.StructType([f for f in taken.schema.fields if f.name != "__text"] + [T.StructField("__ll", T.ArrayType(T.DoubleType()))])
-        return taken.mapInArrow(_scores(self.table), schema)
+        return taken.mapInArrow(_scores(self.sent), schema)
 
     @staticmethod
     def _best() -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import byte_chunks, cut, join_checked, per_text, span_hashes, word_bounds
+from .common import byte_chunks, checked, cut, join_checked, per_text, span_hashes, word_bounds
 
 #: The transformed statistics, and for each a standard deviation below which differences don't count.
 STATISTICS = {"log_words": 0.5, "log_word_length": 0.06, "upper_share": 0.06, "point_share": 0.04, "symbol_share": 0.06, "repeat_share": 0.06, "log_variety": 0.12}
@@ -42,6 +42,8 @@ D = len(STATISTICS)
 TAIL = 3e-4
 #: Documents that the estimate of the level above weighs as much as.
 PRIOR = 80.0
+#: Fall of the scatter's log-determinant at which a group's concentration steps end.
+TOLERANCE = 0.01
 X = [f"x{i}" for i in range(D)]
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
 
@@ -181,6 +183,19 @@ def _model(scale: float):
     return run
 
 
+def _improved(scale: float, tolerance: float):
+    """As ``_model``, with the model that the subset was chosen by (old_): where the new one is hardly better the old one stays, and has ended."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            new = pd.concat([*_model(scale)([f]), pd.DataFrame(columns=MODEL.names)])
+            old = f[[f"old_{c}" for c in MODEL.names]].set_axis(MODEL.names, axis=1)
+            ended = ~(new["logdet"].to_numpy(float) < old["logdet"].to_numpy(float) - tolerance)
+            yield old.where(pd.Series(ended, index=old.index), new.set_axis(old.index)).assign(ended=ended)
+
+    return run
+
+
 def _shrunk(scale: float):
     """From the moments of a group, its language (l_) and the corpus (a_), and the sizes of group and language, to the group's model."""
 
@@ -216,7 +231,7 @@ def _moments(x: list[str]) -> list[Column]:
 M = [f"s{i}" for i in range(D)] + [f"p{i}_{j}" for i, j in PAIRS]
 
 
-def estimate(stats: DataFrame, share: float = 0.75, tolerance: float = 1e-3) -> tuple[DataFrame, DataFrame]:
+def estimate(stats: DataFrame, share: float = 0.75, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """The groups (``__lang``, ``__source`` -> g) and their models (MODEL, of reweighted MCD estimates drawn towards those of language and corpus).
 
     ``stats`` is read once a step, so it should be a written table. ``share`` of a group's documents make the concentrated subset.
@@ -246,29 +261,29 @@ def estimate(stats: DataFrame, share: float = 0.75, tolerance: float = 1e-3) ->
 
     consistency = share / chi_square_cdf(chi_square_quantile(share, D), D + 2)
 
-    def step(model: DataFrame) -> DataFrame:
-        placed = join_checked(data, model, ["g"], "inner").withColumn("d2", distance())
+    def concentrated(model: DataFrame) -> DataFrame:
+        """Moments of each model's nearest documents."""
+        placed = data.join(model, "g").withColumn("d2", distance())
         bins = placed.groupBy("g", "start", F.floor(64 * F.log2(1 + F.col("d2"))).alias("bin")).agg(F.count("*").cast("double").alias("n"), *_moments(X))
         group = Window.partitionBy("g", "start")
         bins = bins.withColumn("all", F.sum("n").over(group)).withColumn("before", F.sum("n").over(group.orderBy("bin")) - F.col("n"))
         part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("all") * share - F.col("before")) / F.col("n")))
-        chosen = bins.withColumn("part", part).where("part > 0").groupBy("g", "start").agg(*[F.expr(f"sum({c} * part) AS {c}") for c in ("n", *M)])
-        return cut(chosen.mapInPandas(_model(consistency), MODEL))
+        return bins.withColumn("part", part).where("part > 0").groupBy("g", "start").agg(*[F.expr(f"sum({c} * part) AS {c}") for c in ("n", *M)])
 
     for _ in range(2):
-        model = step(model)
+        model = cut(concentrated(checked(model)[0]).mapInPandas(_model(consistency), MODEL))
     best = Window.partitionBy("g").orderBy("logdet", "start")
     active = cut(model.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k"))
-    ended = []
-    while active.limit(1).count():
-        new = step(active).withColumnsRenamed({c: f"new_{c}" for c in MODEL.names if c != "g"})
-        both = cut(active.join(new, "g"))
-        falls = F.col("new_logdet") < F.col("logdet") - tolerance
-        ended.append(both.where(~falls).select(MODEL.names))
-        active = both.where(falls).select("g", *[F.col(f"new_{c}").alias(c) for c in MODEL.names if c != "g"])
-    model = ended[0] if ended else active
-    for rows in ended[1:]:
-        model = model.unionByName(rows)
+    schema = T.StructType([*MODEL.fields, T.StructField("ended", T.BooleanType())])
+    model = active.where("false")
+    while True:
+        hinted, left = checked(active)
+        if not left:
+            break
+        old = hinted.withColumnsRenamed({c: f"old_{c}" for c in MODEL.names})
+        stepped = concentrated(hinted).join(old, (F.col("g") == F.col("old_g")) & (F.col("start") == F.col("old_start")))
+        stepped = cut(stepped.mapInPandas(_improved(consistency, tolerance), schema))
+        model, active = model.unionByName(stepped.where("ended").drop("ended")), stepped.where("NOT ended").drop("ended")
 
     limit = chi_square_quantile(0.975, D)
     inside = join_checked(data, cut(model), ["g"], "inner").where(distance() <= limit)

@@ -28,6 +28,12 @@ def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def syncmer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where passages of the benchmark stand in the documents, by positional matching of operator 4's anchors: every item against every document."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return syncmers.align(syncmers.fingerprints(items), syncmers.fingerprints(read(spark, sf_dir, "documents")))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier finds good and not toxic, with the probabilities."""
     docs = read(spark, sf_dir, "documents")
@@ -49,8 +55,8 @@ def op7_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents whose language is certain."""
-    return language.identify(read(spark, sf_dir, "documents")).where("keep").drop("keep")
+    """The language of every document, with keep: whether it is certain."""
+    return language.identify(read(spark, sf_dir, "documents"))
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +77,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(read(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_quality_mcd, op2_bpe, op3_packing, op4_syncmers, op5_quality_classifier, op6_shard_tree, op7_fixity, op8_language_id, op9_near_dedup, op10_token_counts, language_of_pages)
+OPERATORS = (op1_quality_mcd, op2_bpe, op3_packing, op4_syncmers, op5_quality_classifier, op6_shard_tree, op7_fixity, op8_language_id, op9_near_dedup, op10_token_counts, language_of_pages, syncmer_matches)
 QUERIES = {f.__name__: f for f in OPERATORS}
 
 ORACLES = {

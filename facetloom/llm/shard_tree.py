@@ -7,13 +7,13 @@ key, its own name and its own weight, so when weights change keys move only into
 All of it is one expression of built-in functions: a narrow pass over the key column, without shuffle or Python.
 
 Defined cases: a null key is a key of its own. Equal draws go to the child whose name sorts first. A weight of 0 takes no keys; a tree without
-any weight gives null places. Repeated rows go to one place. Only the key column is read; ``place`` keeps all columns and adds three, which
-replace columns of the same names.
+any weight gives null places. Repeated rows go to one place. Only the key column is read; ``place`` keeps all columns and adds three, named by
+``names``; a column of one of those names that is there already (names are compared as the session does) is an error, not overwritten.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: region -> rack -> shard -> weight
@@ -42,17 +42,22 @@ def _choice(children: dict, path: str, key: str) -> str:
     return f"array_min(array({', '.join(f'struct({draw(n, w)} AS d, {_quoted(n)} AS n)' for n, w in live.items())})).n"
 
 
-def place(df: DataFrame, key: str, tree: dict = TREE) -> DataFrame:
+def place(df: DataFrame, key: str, tree: dict = TREE, names: tuple[str, str, str] = LEVELS) -> DataFrame:
     """df with region, rack and shard of each row's key."""
-    df = df.withColumn("__key", F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")))
-    df = df.withColumn("region", F.expr(_choice(tree, "", "__key")))
-
-    def cases(column: str, options: dict[str, str]) -> Column:
-        return F.expr("CASE " + " ".join(f"WHEN {column} = {_quoted(k)} THEN {v}" for k, v in options.items()) + " END") if options else F.lit(None).cast("string")
-
-    df = df.withColumn("rack", cases("region", {r: _choice(racks, f"{r}/", "__key") for r, racks in tree.items()}))
-    inner = {(r, k): _choice(shards, f"{r}/{k}/", "__key") for r, racks in tree.items() for k, shards in racks.items()}
-    return df.withColumn("shard", cases("concat(region, '/', rack)", {f"{r}/{k}": v for (r, k), v in inner.items()})).drop("__key")
+    same = (lambda x: x) if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+    if clash := {same(c) for c in df.columns} & {same(n) for n in names}:
+        raise ValueError(f"there are columns {', '.join(sorted(clash))} already; give other names")
+    value = f"coalesce(CAST(`{key.replace('`', '``')}` AS string), 'null')"
+
+    def cases(level: str, options: dict[str, str]) -> str:
+        return "CASE " + " ".join(f"WHEN {level} = {_quoted(k)} THEN {v}" for k, v in options.items()) + " END" if options else "CAST(NULL AS string)"
+
+    region, rack, shard = (f"`{n}`" for n in names)
+    racks = cases(region, {r: _choice(racks, f"{r}/", value) for r, racks in tree.items()})
+    inner = {f"{r}/{k}": _choice(shards, f"{r}/{k}/", value) for r, racks in tree.items() for k, shards in racks.items()}
+    for name, choice in zip(names, (_choice(tree, "", value), racks, cases(f"concat({region}, '/', {rack})", inner)), strict=True):
+        df = df.withColumn(name, F.expr(choice))
+    return df
 
 
 def leaves(tree: dict = TREE) -> list[tuple[str, str, str, float, float, float]]:

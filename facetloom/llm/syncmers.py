@@ -71,9 +71,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def align(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
     """left_id, right_id, shift, anchors, left_start, left_end: where fingerprints share at least ``least`` anchors at one distance.
 
-    Positional matching: anchors meet by hash, and those of one passage lie on one diagonal (left position less right position).
+    Positional matching: anchors meet by hash, and those of one passage lie on one diagonal (left position less right position). ``left`` is a
+    stated set of queries (benchmark passages, say) and ``right`` all documents: what an anchor costs is its queries times its documents, each of
+    which is a match. Null ids match nothing; a row repeated with its id counts once.
     """
-    flat = lambda df, side: df.select(F.col("doc_id").alias(f"{side}_id"), F.explode(F.arrays_zip("positions", "hashes")).alias("a")).select(f"{side}_id", F.col("a.positions").alias(f"{side}_at"), F.col("a.hashes").alias("hash"))
+    flat = lambda df, side: df.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(f"{side}_id"), F.explode(F.arrays_zip("positions", "hashes")).alias("a")).select(f"{side}_id", F.col("a.positions").alias(f"{side}_at"), F.col("a.hashes").alias("hash"))
     met = flat(left, "left").join(flat(right, "right"), "hash").withColumn("shift", F.col("left_at") - F.col("right_at"))
     lines = met.groupBy("left_id", "right_id", "shift").agg(F.countDistinct("left_at").alias("anchors"), F.min("left_at").alias("left_start"), (F.max("left_at") + K).alias("left_end"))
     return lines.where(F.col("anchors") >= least)

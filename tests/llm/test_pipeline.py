@@ -48,3 +48,15 @@ def test_run(spark, tmp_path):
     assert set(out.doc_id.fillna(-1).astype(int)) == keep
     sizes = {r.d: r.n for r in third.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), packing._words(F.col("text")).alias("n")).collect()}
     assert out.groupby(out.doc_id.fillna(-1).astype(int))["size"].sum().to_dict() == sizes
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    full = frame(spark, corpus(30) + odd())
+    for name, docs in (("empty", full.where("false")), ("clash", full)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        if name == "empty":
+            for _, stage in corpus_pipeline.STAGES[:-1]:
+                assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns == ["doc_id", "part", "shard", "window", "start", "size"] and (out.count() > 0) == (name == "clash")

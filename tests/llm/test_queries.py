@@ -62,12 +62,23 @@ def test_syncmers(spark, texts):
     rows = run(spark, "op4_syncmers")
     assert len(rows) == len(texts)
     for r in rows:
-        if len(texts[r.doc_id].text) < 700:
+        if len(texts[r.doc_id].text) < 2500:
             assert list(r.positions) == slow_anchors(texts[r.doc_id].text.encode())
         assert len(r.positions) == len(r.hashes)
         assert not r.positions or max(np.diff(r.positions), default=0) <= syncmers.K - syncmers.S
 
 
+def test_matches(spark, texts):
+    """Every passage that an item and a document share at length is found at its place."""
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = {(r.left_id, r.right_id): r for r in run(spark, "syncmer_matches")}
+    whole = {(i, d): t.text.encode().index(x.encode()) for i, x in items.items() for d, t in texts.items() if len(x) > 200 and x in t.text}
+    assert set(whole) <= set(got)
+    for (i, d), r in got.items():
+        raw = near_dedup.fold_case(np.frombuffer(items[i].encode(), np.uint8)).tobytes()[r.left_start : r.left_start + syncmers.K]
+        assert raw in near_dedup.fold_case(np.frombuffer(texts[d].text.encode(), np.uint8)).tobytes()
+
+
 def test_classifier(spark, texts):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     table = classifier.fit(docs, labels)
@@ -114,7 +125,9 @@ def test_language(spark, texts):
     for v in langs:
         c, m = count(lambda r, v=v: r.lang == v), sum(r.lang == v for r in texts.values())
         said[v] = np.append(np.log((c + s * m / n) / (all_n + s))[:-1], math.log(m / n))
-    got = {r.doc_id: (r.language, r.posterior) for r in run(spark, "op8_language_id")}
+    rows = {r.doc_id: r for r in run(spark, "op8_language_id")}
+    assert set(rows) == set(texts)
+    got = {i: (r.language, r.posterior) for i, r in rows.items() if r.keep}
     for i, r in texts.items():
         z = np.array(ll[i]) * language.TEMPER + host[r.source] + said[r.lang]
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
