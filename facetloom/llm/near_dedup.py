@@ -113,14 +113,30 @@ def meetings(nodes: DataFrame) -> DataFrame:
     arranged = nodes.select("id", *FINGERPRINT).mapInArrow(_arranged, "id long, v array<int>")
     own = arranged.select("id", F.posexplode("v").alias("t", "v"))
     flips = F.explode(F.array(F.lit(0), *[F.lit(1 << i) for i in range(low, SEGMENT_BITS)])).alias("bit")
-    asks = own.select("id", "t", "v", flips).where(F.col("v").bitwiseAND(F.col("bit")) == F.col("bit"))
-    key = F.shiftleft(F.col("t").cast("long"), SEGMENT_BITS).bitwiseOR(F.col("v").bitwiseXOR(F.col("bit")).cast("long"))
-    rows = asks.select(key.alias("key"), "id", (F.col("bit") == 0).alias("home")).withColumn("part", F.shiftright("key", low)).repartition("part")
-    table = rows.where("home").groupBy("part", "key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    flips = F.explode(F.when(F.col("home"), F.array(*[F.lit(b).cast("long") for b in (0, *(1 << i for i in range(low)))])).otherwise(F.array(F.lit(0).cast("long")))).alias("bit")
-    probes = rows.select("part", "key", "id", "home", flips).where(F.col("key").bitwiseAND(F.col("bit")) == F.col("bit"))
-    probes = probes.select("part", F.col("key").bitwiseXOR(F.col("bit")).alias("key"), "id", (F.col("home") & (F.col("bit") == 0)).alias("home"))
-    return probes.join(table.hint("shuffle_hash"), ["part", "key"]).where("id <> rep OR n > 1").select("key", "id", "home", "rep")
+    asks = own.select("id", "t", "v", flips).where(F.col("v").bitwiseAND(F.col("bit")) == F.col("bit")).withColumn("v", F.col("v").bitwiseXOR(F.col("bit")))
+    # three numbers a row, to keep the shuffle small: part (table and upper bits), low (the rest), who (id, or -1 - id of one that only asks)
+    rows = asks.select(F.shiftleft("t", HIGH).bitwiseOR(F.shiftright("v", low)).alias("part"), F.col("v").bitwiseAND(F.lit((1 << low) - 1)).alias("low"), F.when(F.col("bit") == 0, F.col("id")).otherwise(-1 - F.col("id")).alias("who"))
+    rows = rows.repartition("part")
+    table = rows.where("who >= 0").groupBy("part", "low").agg(F.min("who").alias("rep"), F.count("*").alias("n"))
+    flips = F.explode(F.when(F.col("who") >= 0, F.array(F.lit(0), *[F.lit(1 << i) for i in range(low)])).otherwise(F.array(F.lit(0)))).alias("bit")
+    probes = rows.select("part", "low", "who", flips).where(F.col("low").bitwiseAND(F.col("bit")) == F.col("bit"))
+    probes = probes.select("part", F.col("low").bitwiseXOR(F.col("bit")).alias("low"), F.when(F.col("who") >= 0, F.col("who")).otherwise(-1 - F.col("who")).alias("id"), ((F.col("who") >= 0) & (F.col("bit") == 0)).alias("home"))
+    met = probes.join(table.hint("shuffle_hash"), ["part", "low"]).where("id <> rep OR n > 1")
+    return met.select(F.shiftleft(F.col("part").cast("long"), low).bitwiseOR(F.col("low").cast("long")).alias("key"), "id", "home", "rep")
+
+
+_BY_SOME_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """``meetings``, computed with the one shuffle by part: both sides lie by a part of the join's key, which Spark by default doesn't take as enough."""
+    conf = nodes.sparkSession.conf
+    before = conf.get(_BY_SOME_KEYS)
+    conf.set(_BY_SOME_KEYS, "false")
+    try:
+        return cut(meetings(nodes))
+    finally:
+        conf.set(_BY_SOME_KEYS, before)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
@@ -133,7 +149,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
 
 def linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """node, root (the least of its component) of the nodes (id, f0, ..) that have a near copy; ``nodes`` should be a written table."""
-    met = cut(meetings(nodes))
+    met = _met(nodes)
     links = cut(_verified(met.where("id <> rep").select(F.col("id").alias("x"), F.col("rep").alias("y")), nodes, radius).select("a", "b"))
     first = cut(components(links))
     of = lambda column: first.select(F.col("node").alias(column), F.col("root").alias(f"{column}_root"))
