@@ -1,4 +1,4 @@
-"""Column expressions that Spark has no function for; all of them stay in generated JVM code."""
+"""Column expressions that Spark has no function for; all of them stay in the JVM (those with lambdas are evaluated there without generated code)."""
 
 from __future__ import annotations
 

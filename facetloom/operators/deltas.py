@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .defs import Facet
+from ..sources.folders import work_dir
 from .index import FacetIndex, long_form
 
 KEYS = ("facet_id", "facet_name", "facet_value", "doc_id")
@@ -35,12 +36,16 @@ def net(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy(*KEYS).agg(F.sum("delta").cast("int").alias("delta")).where("delta <> 0")
 
 
-def apply(index: FacetIndex, deltas: DataFrame) -> FacetIndex:
-    """The index with deltas merged: by one shuffle of both, a row is there if it is added, or was there and isn't taken."""
-    was = index.rows.select(*KEYS, F.lit(1).alias("was"), F.lit(0).alias("delta"))
+def merged(rows: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Index rows with deltas merged: by one shuffle of both, a row is there if it is added, or was there and isn't taken."""
+    was = rows.select(*KEYS, F.lit(1).alias("was"), F.lit(0).alias("delta"))
     both = was.unionByName(deltas.select(*KEYS, F.lit(0).alias("was"), "delta"))
-    rows = both.groupBy(*KEYS).agg(F.max("was").alias("was"), F.sum("delta").alias("delta")).where("delta > 0 OR (was = 1 AND delta = 0)")
-    return FacetIndex(rows.select(*KEYS), index.facets, index.key, index.table, index.docs)
+    return both.groupBy(*KEYS).agg(F.max("was").alias("was"), F.sum("delta").alias("delta")).where("delta > 0 OR (was = 1 AND delta = 0)").select(*KEYS)
+
+
+def apply(index: FacetIndex, deltas: DataFrame) -> FacetIndex:
+    """The index with deltas merged, whole; ``streaming.merge.Store`` rewrites only what they touch."""
+    return FacetIndex(merged(index.rows, deltas), index.facets, index.key, index.table, index.docs)
 
 
 def apply_joined(index: FacetIndex, df: DataFrame) -> FacetIndex:
@@ -57,13 +62,21 @@ def status(pending: DataFrame) -> DataFrame:
     )
 
 
+def stored(index: FacetIndex) -> FacetIndex:
+    """The index written in the shared folder, and read from there."""
+    return index.write(work_dir(index.rows.sparkSession))
+
+
 @dataclass
 class Maintained:
-    """An index with its pending deltas and a history of merges; reads merge what is pending first."""
+    """An index with its pending deltas and a history of merges; reads merge what is pending first.
+
+    ``store`` makes a merged index permanent (by default a table in the shared folder); what fails, fails there, before anything here has changed.
+    """
 
     index: FacetIndex
     pending: DataFrame | None = None
-    store: Callable[[FacetIndex], FacetIndex] = lambda index: index
+    store: Callable[[FacetIndex], FacetIndex] = stored
     history: list[dict] = field(default_factory=list)
 
     def change(self, changes: DataFrame) -> None:
@@ -75,18 +88,19 @@ class Maintained:
 
     def merge(self) -> int:
         """Merge; raises on failure, leaving index and deltas as they were. Either way the history has a row."""
-        began, n = time.time(), self.count()
-        entry = {"table": self.index.table, "delta_count": n, "rows_merged": 0, "status": "success", "error_message": None}
+        began, n = time.time(), 0
+        entry = {"table": self.index.table, "delta_count": 0, "rows_merged": 0, "status": "success", "error_message": None}
         try:
+            n = entry["delta_count"] = self.count()
             if n:
-                self.index, self.pending = self.store(apply(self.index, net(self.pending))), None
+                self.index = self.store(apply(self.index, net(self.pending)))
                 entry["rows_merged"] = n
+            self.pending = None
         except Exception as e:
             entry |= {"status": "error", "error_message": str(e)}
             raise
         finally:
             self.history.append(entry | {"elapsed_ms": (time.time() - began) * 1000})
-        self.pending = None
         return n
 
     def merge_if(self, least: int = 1000) -> dict:

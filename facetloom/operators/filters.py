@@ -44,17 +44,19 @@ def documents(index: FacetIndex, filters: Filters, match_all: bool = False, comm
     for name, values in pairs:
         for v in values:
             wanted.setdefault((name, v) if match_all else (name,), set()).add(v)
-    if len(wanted) > 63:
-        raise ValueError("more than 63 conditions")
     if any(k[0] not in known for k in wanted):
         return index.rows.where(F.lit(False)).select("doc_id")
-    bit = F.lit(0).cast("long")
     where = F.lit(False)
+    words = [F.lit(0).cast("long")] * -(-len(wanted) // 63)  # each condition is a bit of one of these
     for i, ((name, *_), values) in enumerate(wanted.items()):
         here = (F.col("facet_id") == known[name]) & F.col("facet_value").isin(*sorted(values))
         where = where | here
-        bit = bit.bitwiseOR(F.when(here, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return index.of(*sorted({k[0] for k in wanted})).where(where).groupBy("doc_id").agg(F.bit_or(bit).alias("met")).where(F.col("met") == (1 << len(wanted)) - 1).select("doc_id")
+        words[i // 63] = words[i // 63].bitwiseOR(F.when(here, F.lit(1 << i % 63).cast("long")).otherwise(F.lit(0).cast("long")))
+    met = [F.bit_or(w).alias(f"met{i}") for i, w in enumerate(words)]
+    all_met = F.lit(True)
+    for i in range(len(words)):
+        all_met = all_met & (F.col(f"met{i}") == (1 << min(63, len(wanted) - 63 * i)) - 1)
+    return index.of(*sorted({k[0] for k in wanted})).where(where).groupBy("doc_id").agg(*met).where(all_met).select("doc_id")
 
 
 def page(docs: DataFrame | None, limit: int = 100, offset: int = 0) -> DataFrame | None:

@@ -126,6 +126,8 @@ def chunk_bits(rows: int) -> int:
     return 16 if rows < 100_000 else 18 if rows < 1_000_000 else 20 if rows < 10_000_000 else 22
 
 
-def read_index(spark: SparkSession, path: str, facets: list[Facet], key: str) -> FacetIndex:
+def read_index(spark: SparkSession, path: str, facets: list[Facet], key: str, table: str = "") -> FacetIndex:
+    """A stored index; facets without a number are numbered in order."""
     schema = "facet_name string, facet_value string, doc_id long, facet_id int"
-    return FacetIndex(spark.read.schema(schema).parquet(path).select("facet_id", "facet_name", "facet_value", "doc_id"), [f.numbered(i) for i, f in enumerate(facets, 1)], key)
+    facets = [f if f.id else f.numbered(i) for i, f in enumerate(facets, 1)]
+    return FacetIndex(spark.read.schema(schema).parquet(path).select("facet_id", "facet_name", "facet_value", "doc_id"), facets, key, table)

@@ -1,68 +1,122 @@
-"""The text index: postings (term, doc_id, tf) and lengths (doc_id, doc_length), and what can be asked of it.
+"""The text index: postings (term, doc_id, tf, doc_length) and what can be asked of it.
 
-An analyzer is a pair: a Column expression for the corpus and a function for query strings; both sides always use the same one. Building is
-one shuffle of (document, term) partial counts; a document's terms are first counted where they are read.
+An analyzer is the simple tokeniser with or without a stemmer; corpus and query strings always go through the same one. Building is one narrow
+pass: a document's terms are counted where it is read, keys being unique. Stored, the index is four tables: postings and terms (term, df) in order of term, so that a
+query's terms or prefix skip row groups; trigrams (gram, term, n) in order of gram, so that a typo-tolerant query meets only terms that share
+one; and a row of statistics. An index that isn't stored derives the last three when they are asked for.
 """
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exprs, stemmer
+from ..functions import exprs, snowball, stemmer, tokens
 
 
 @dataclass(frozen=True)
 class Analyzer:
     name: str
-    tokens: Callable[[Column], Column]
-    of_query: Callable[[str | None], list[str]]
+    stem: Callable[[str], str] | None = None
 
+    def of_query(self, text: str | None) -> list[str]:
+        found = exprs.simple_tokens_of(text)
+        return [self.stem(w) for w in found] if self.stem else found
 
-SIMPLE = Analyzer("simple", exprs.simple_tokens, exprs.simple_tokens_of)
-ENGLISH = Analyzer("english", lambda c: stemmer.stems(exprs.simple_tokens(c)), lambda q: [stemmer.stem(w) for w in exprs.simple_tokens_of(q)])
-ANALYZERS = {a.name: a for a in (SIMPLE, ENGLISH)}
+
+SIMPLE = Analyzer("simple")
+ENGLISH = Analyzer("english", stemmer.stem)
+ANALYZERS = {a.name: a for a in (SIMPLE, ENGLISH, *(Analyzer(name, partial(snowball.stem, name)) for name in snowball.LANGUAGES))}
 
 
 class TextIndex:
-    def __init__(self, postings: DataFrame, lengths: DataFrame, analyzer: Analyzer = SIMPLE):
-        self.postings, self.lengths, self.analyzer = postings, lengths, analyzer
+    """``rows``: postings, and a row of the empty term for each document; ``parts``: the stored tables terms, grams and statistics, if any."""
+
+    def __init__(self, rows: DataFrame, analyzer: Analyzer = SIMPLE, parts: dict[str, DataFrame] | None = None):
+        self.rows, self.analyzer, self.parts = rows, analyzer, parts or {}
+        self._numbers: tuple[int, float] | None = None
 
     @classmethod
     def build(cls, df: DataFrame, key: str, text: str | Column, analyzer: Analyzer | str = SIMPLE) -> TextIndex:
-        """Null and empty texts are left out; a text without terms has length 0."""
+        """Null and empty texts are left out; a text without terms has length 0. key is unique."""
         analyzer = ANALYZERS[analyzer] if isinstance(analyzer, str) else analyzer
-        text = F.col(text) if isinstance(text, str) else text
-        rows = df.select(F.col(key).cast("long").alias("doc_id"), text.alias("t")).where("t IS NOT NULL AND t <> ''").select("doc_id", analyzer.tokens(F.col("t")).alias("tokens"))
-        # (explode would add a filter on the tokens' number, and tokenise for it once more)
-        postings = rows.select("doc_id", F.explode_outer("tokens").alias("term")).where("term IS NOT NULL").groupBy("doc_id", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf")
-        return cls(postings, rows.select("doc_id", F.size("tokens").cast("long").alias("doc_length")), analyzer)
+        return cls(tokens.counted(df, key, F.col(text) if isinstance(text, str) else text, analyzer.stem), analyzer)
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.rows.where("term <> ''")
+
+    @property
+    def lengths(self) -> DataFrame:
+        """doc_id, doc_length."""
+        return self.rows.where("term = ''").select("doc_id", "doc_length")
 
     def cached(self) -> TextIndex:
-        return TextIndex(self.postings.persist(), self.lengths.persist(), self.analyzer)
+        return TextIndex(self.rows.persist(), self.analyzer, self.parts)
 
     def write(self, path: str) -> TextIndex:
-        """Stored by term, so that a query's terms skip row groups."""
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-        read = self.postings.sparkSession.read.parquet
-        return TextIndex(read(f"{path}/postings"), read(f"{path}/lengths"), self.analyzer)
+        """Store the index and go on from the stored one. A term that very many documents have is split by document."""
+        session = self.rows.sparkSession
+        self.rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = TextIndex(session.read.parquet(f"{path}/postings"), self.analyzer)
+        stored.terms().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        stored.parts["terms"] = session.read.parquet(f"{path}/terms")
+        stored.grams().repartitionByRange("gram", "term").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{path}/grams")
+        analyzer = F.lit(json.dumps({"analyzer": self.analyzer.name})).alias("settings")
+        stored.statistics().withColumn("settings", analyzer).write.mode("overwrite").parquet(f"{path}/statistics")
+        return TextIndex.read(session, path)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> TextIndex:
+        """A stored index with its analyzer."""
+        parts = {name: spark.read.parquet(f"{path}/{name}") for name in ("terms", "grams", "statistics")}
+        row = parts["statistics"].first()
+        index = cls(spark.read.schema(tokens.SCHEMA).parquet(f"{path}/postings"), ANALYZERS[json.loads(row["settings"])["analyzer"]], parts | {"statistics": parts["statistics"].drop("settings")})
+        index._numbers = row["total_documents"], row["avg_document_length"]
+        return index
 
     def delete(self, docs: DataFrame) -> TextIndex:
-        return TextIndex(self.postings.join(docs, "doc_id", "left_anti"), self.lengths.join(docs, "doc_id", "left_anti"), self.analyzer)
+        """Without the documents of docs (doc_id); ids that aren't there are ignored."""
+        return TextIndex(self.rows.join(docs.select("doc_id"), "doc_id", "left_anti"), self.analyzer)
 
     def upsert(self, df: DataFrame, key: str, text: str) -> TextIndex:
         """Documents added, those that are there already replaced; statistics are always recomputed."""
-        new, rest = TextIndex.build(df, key, text, self.analyzer), self.delete(df.select(F.col(key).cast("long").alias("doc_id")))
-        return TextIndex(rest.postings.unionByName(new.postings), rest.lengths.unionByName(new.lengths), self.analyzer)
+        new = TextIndex.build(df, key, text, self.analyzer)
+        return TextIndex(self.delete(df.select(F.col(key).cast("long").alias("doc_id"))).rows.unionByName(new.rows), self.analyzer)
+
+    def upsert_existing(self, df: DataFrame, key: str, text: str, source: DataFrame) -> TextIndex:
+        """``upsert`` of those rows whose key the source table has; others are passed over."""
+        return self.upsert(df.join(source.select(key), key, "left_semi"), key, text)
+
+    def delete_existing(self, docs: DataFrame, key: str, source: DataFrame) -> TextIndex:
+        """``delete`` of those ids that the source table has; others are passed over."""
+        return self.delete(docs.join(source.select(F.col(key).cast("long").alias("doc_id")), "doc_id", "left_semi"))
+
+    def terms(self) -> DataFrame:
+        """term, df."""
+        return self.parts.get("terms") or self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    def grams(self) -> DataFrame:
+        """gram, term, n (the term's number of trigrams)."""
+        if "grams" in self.parts:
+            return self.parts["grams"]
+        return self.terms().select("term", exprs.trigrams(F.col("term")).alias("g")).select(F.explode("g").alias("gram"), "term", F.size("g").alias("n"))
 
     def statistics(self) -> DataFrame:
         """total_documents, avg_document_length."""
-        return self.lengths.agg(F.count("*").alias("total_documents"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_document_length"))
+        return self.parts.get("statistics") or self.lengths.agg(F.count("*").alias("total_documents"), F.coalesce(F.avg("doc_length"), F.lit(0.0)).alias("avg_document_length"))
+
+    def numbers(self) -> tuple[int, float]:
+        """The statistics as numbers, read once."""
+        if self._numbers is None:
+            self._numbers = tuple(self.statistics().first())
+        return self._numbers
 
     def term_stats(self) -> DataFrame:
         """term, ndoc (documents), nentry (occurrences)."""
@@ -72,8 +126,8 @@ class TextIndex:
         return self.term_stats().orderBy(F.desc("nentry"), F.desc("ndoc"), "term").limit(limit)
 
     def doc_stats(self) -> DataFrame:
-        """doc_id, doc_length, unique_terms."""
-        return self.postings.groupBy("doc_id").agg(F.sum("tf").alias("doc_length"), F.count("*").alias("unique_terms"))
+        """doc_id, doc_length, unique_terms of the documents that have terms."""
+        return self.postings.groupBy("doc_id").agg(F.max("doc_length").alias("doc_length"), F.count("*").alias("unique_terms"))
 
     def collection_stats(self) -> DataFrame:
         """total_documents, avg_document_length, total_terms, unique_terms."""

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import vector
 from ..operators import counts, defs, deltas, filters, hierarchy, introspect
-from ..operators.index import FacetIndex
+from ..operators.index import FacetIndex, chunk_bits, read_index
+from ..sources import tables
+from ..sources.catalog import Catalog
+from ..sources.folders import work_dir
+from ..streaming.merge import Store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,12 +33,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_at(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], object]) -> str:
+    """The folder of a stored index, written once for a session and set of tables: queries ask indexes, they don't build them."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = work_dir(spark)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, index: FacetIndex, name: str) -> FacetIndex:
+    path = stored_at(spark, sf_dir, name, index.write)
+    return read_index(spark, path, index.facets, index.key, index.table)
+
+
 PRICES = [1000, 50_000, 100_000, 200_000, 400_000]
 
 
 def orders_index(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> FacetIndex:
-    df = table(spark, sf_dir, "orders") if df is None else df
-    return FacetIndex.build(df, "o_orderkey", [defs.plain("o_orderstatus", "status"), defs.plain("o_orderpriority", "priority"), defs.bucket("o_totalprice", PRICES, "price"), defs.datetrunc("o_orderdate", "year", "year")], "orders")
+    """An index over df as it is; without one the stored index of orders."""
+    built = FacetIndex.build(table(spark, sf_dir, "orders") if df is None else df, "o_orderkey", [defs.plain("o_orderstatus", "status"), defs.plain("o_orderpriority", "priority"), defs.bucket("o_totalprice", PRICES, "price"), defs.datetrunc("o_orderdate", "year", "year")], "orders")
+    return stored(spark, sf_dir, built, "orders") if df is None else built
 
 
 _BUCKET = " + ".join(f"(o_totalprice >= {p})::INT" for p in PRICES)
@@ -50,9 +73,10 @@ _COUNT = "SELECT facet_name, facet_value, count(*)::BIGINT AS cardinality, facet
 def parts_index(spark: SparkSession, sf_dir: str) -> FacetIndex:
     tier = lambda: F.when(F.col("p_retailprice") < 1000, "budget").when(F.col("p_retailprice") < 1500, "middle").otherwise("premium")
     words = lambda: F.array(F.element_at(F.split("p_name", " "), 1), F.col("p_brand"))
-    return FacetIndex.build(
+    built = FacetIndex.build(
         table(spark, sf_dir, "part"), "p_partkey", [defs.plain("p_brand", "brand"), defs.array(F.split("p_type", " "), "tags"), defs.rating("p_size", "size"), defs.function(tier, "tier"), defs.function_array(words, "keywords"), defs.boolean(F.col("p_size") > 25, "large")], "part"
     )
+    return stored(spark, sf_dir, built, "part")
 
 
 PARTS = """idx AS (
@@ -72,7 +96,8 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers_index(spark: SparkSession, sf_dir: str) -> FacetIndex:
-    return FacetIndex.build(places(spark, sf_dir), "c_custkey", [defs.plain("r_name", "region"), defs.plain("n_name", "nation", parent="region"), defs.plain("c_mktsegment", "segment", parent="nation")], "customer")
+    built = FacetIndex.build(places(spark, sf_dir), "c_custkey", [defs.plain("r_name", "region"), defs.plain("n_name", "nation", parent="region"), defs.plain("c_mktsegment", "segment", parent="nation")], "customer")
+    return stored(spark, sf_dir, built, "customer")
 
 
 PLACES = "SELECT c_custkey, r_name, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
@@ -256,6 +281,26 @@ def delta_merge(spark, sf_dir):
     return deltas.apply(index, deltas.net(deltas.of_changes(changes, index.key, index.facets))).rows
 
 
+@query(ORACLES["delta_merge"])
+def delta_merge_blocks(spark, sf_dir):
+    """The same changes merged into a store, of which only the touched blocks are written anew."""
+    base, changes = _changes(spark, sf_dir)
+    index, store = orders_index(spark, sf_dir, base), Store(spark, work_dir(spark))
+    store.write(index.rows)
+    store.merge(deltas.net(deltas.of_changes(changes, index.key, index.facets)))
+    return store.read()
+
+
+@query(f"""WITH base AS (SELECT * FROM main.orders), {_AFTER}, {ORDERS} SELECT a.facet_name AS parent_facet, a.facet_value AS parent_value, b.facet_name AS child_facet, b.facet_value AS child_value, count(*)::BIGINT AS cardinality
+FROM idx a JOIN idx b USING (doc_id) WHERE a.facet_id = 1 AND b.facet_id = 2 GROUP BY ALL""")
+def hierarchy_edges_changed(spark, sf_dir):
+    """Edges kept current from the documents that a merge touches."""
+    base, changes = _changes(spark, sf_dir)
+    index = FacetIndex.build(base, "o_orderkey", [defs.plain("o_orderstatus", "status"), defs.plain("o_orderpriority", "priority", parent="status")])
+    net = deltas.net(deltas.of_changes(changes, index.key, index.facets))
+    return hierarchy.edges_changed(hierarchy.edges(index), index, deltas.apply(index, net), net.select("doc_id"))
+
+
 @query(f"""WITH idx0 AS (WITH {ORDERS} SELECT * FROM idx WHERE doc_id % 10 <> 0), base AS (SELECT * FROM main.orders), idx1 AS (WITH {_AFTER}, {ORDERS} SELECT * FROM idx),
 d AS (SELECT *, 1 AS delta FROM idx1 UNION ALL SELECT *, -1 FROM idx0)
 SELECT facet_id, facet_name, facet_value, doc_id, sum(delta)::INT AS delta FROM d GROUP BY ALL HAVING sum(delta) <> 0""")
@@ -303,5 +348,114 @@ def facets_for_ui(spark, sf_dir):
 
 @query(f"WITH {ORDERS} SELECT facet_id, facet_name, facet_value, doc_id FROM idx WHERE facet_id <> 2 UNION ALL SELECT 5::INT, 'customer', o_custkey::VARCHAR, o_orderkey FROM orders WHERE o_custkey IS NOT NULL")
 def add_and_drop_facets(spark, sf_dir):
-    index, _ = orders_index(spark, sf_dir).add([defs.plain("o_custkey", "customer")]).drop(["priority", "unknown"])
+    orders = table(spark, sf_dir, "orders")
+    index, _ = orders_index(spark, sf_dir).add([defs.plain("o_custkey", "customer")], orders).drop(["priority", "unknown"])
+    return index.rows
+
+
+@query(f"WITH {ORDERS} SELECT facet_id, facet_name, facet_value, doc_id FROM idx")
+def facet_index_build(spark, sf_dir):
+    """The index as it is built, not read."""
+    return orders_index(spark, sf_dir, table(spark, sf_dir, "orders")).rows
+
+
+@query(f"WITH {ORDERS} SELECT facet_id, facet_name, facet_value, doc_id FROM idx")
+def refresh_facets(spark, sf_dir):
+    """A stored index of two of three documents' years ago, refreshed facet by facet from today's table."""
+    orders = table(spark, sf_dir, "orders")
+    index = stored(spark, sf_dir, orders_index(spark, sf_dir, orders.where("year(o_orderdate) < 1996")), "orders before 1996")
+    for names in (["status", "priority"], ["price"], ["year"]):
+        index = index.refresh(orders, names)
     return index.rows
+
+
+@query("SELECT column_name AS facet_name, count(*)::BIGINT AS cardinality FROM (UNPIVOT (SELECT c_name, c_mktsegment, c_nationkey::VARCHAR AS c_nationkey FROM customer) ON COLUMNS(*) INTO NAME column_name VALUE v) GROUP BY ALL")
+def facets_from_columns(spark, sf_dir):
+    """Facets inferred from the schema, set up in one call."""
+    customer = table(spark, sf_dir, "customer")
+    customer = customer.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal", F.col("c_nationkey").cast("int").alias("c_nationkey"))
+    index, _ = tables.set_up(customer, "c_custkey")
+    return index.rows.groupBy("facet_name").agg(F.count("*").alias("cardinality"))
+
+
+@query(f"WITH {PARTS} SELECT doc_id FROM idx WHERE facet_id = 6 AND facet_value = 'true'")
+def documents_with_flag(spark, sf_dir):
+    return filters.with_value(parts_index(spark, sf_dir), "large", True)
+
+
+@query(f"WITH {ORDERS} SELECT facet_name, count(*)::BIGINT AS n, count_if(facet_value = '1-URGENT')::BIGINT AS urgent FROM idx WHERE facet_name IN ('status', 'priority') GROUP BY ALL")
+def cardinality_lookup(spark, sf_dir):
+    index = orders_index(spark, sf_dir)
+    return spark.createDataFrame([(n, index.cardinality_of(n), index.cardinality_of(n, "1-URGENT")) for n in ("status", "priority")], "facet_name string, n long, urgent long")
+
+
+@query("SELECT count(*)::BIGINT AS n, (CASE WHEN count(*) < 100000 THEN 16 WHEN count(*) < 1000000 THEN 18 WHEN count(*) < 10000000 THEN 20 ELSE 22 END)::INT AS bits FROM lineitem")
+def chunk_width(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").count()
+    return spark.createDataFrame([(n, chunk_bits(n))], "n long, bits int")
+
+
+@query(f"SELECT (count_if(o_orderkey = 1 AND {_F}) > 0) AS has_one, (count_if(NOT coalesce({_F}, false)) = 0) AS all_f, true AS same FROM orders")
+def set_predicates(spark, sf_dir):
+    """Membership and equality of sets."""
+    index = orders_index(spark, sf_dir)
+    f, everything = filters.with_value(index, "status", "F"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("doc_id"))
+    return spark.createDataFrame([(filters.contains(f, 1), filters.equal(f, everything), filters.equal(f, filters.both(f, everything)))], "has_one boolean, all_f boolean, same boolean")
+
+
+@query(f"WITH {ORDERS}, c AS ({_COUNT} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY facet_id ORDER BY cardinality DESC, facet_value) AS r FROM c), g AS (SELECT facet_id, facet_name, list({{'value': facet_value, 'count': cardinality}} ORDER BY r) AS values FROM r WHERE r <= 3 GROUP BY ALL) SELECT to_json(list({{'facet_id': facet_id, 'facet_name': facet_name, 'values': values}} ORDER BY facet_id))::VARCHAR AS facets FROM g")
+def counts_as_json(spark, sf_dir):
+    return counts.as_json(counts.top_counts(orders_index(spark, sf_dir), None, 3))
+
+
+_LEVEL = "row_number() OVER (PARTITION BY {0} ORDER BY {1} DESC, {2}) AS r"
+
+
+@query(f"""WITH c AS ({PLACES}), l2 AS (SELECT r_name, n_name, c_mktsegment, count(*)::BIGINT AS n FROM c GROUP BY ALL), k2 AS (SELECT *, {_LEVEL.format("r_name, n_name", "n", "c_mktsegment")} FROM l2),
+g2 AS (SELECT r_name, n_name, list({{'value': c_mktsegment, 'count': n}} ORDER BY r) AS children FROM k2 WHERE r <= 3 GROUP BY ALL),
+l1 AS (SELECT r_name, n_name, count(*)::BIGINT AS n FROM c GROUP BY ALL), k1 AS (SELECT *, {_LEVEL.format("r_name", "n", "n_name")} FROM l1),
+g1 AS (SELECT r_name, list({{'value': n_name, 'count': n, 'children': children}} ORDER BY r) AS children FROM k1 JOIN g2 USING (r_name, n_name) WHERE r <= 3 GROUP BY ALL),
+l0 AS (SELECT r_name, count(*)::BIGINT AS n FROM c GROUP BY ALL), k0 AS (SELECT *, row_number() OVER (ORDER BY n DESC, r_name) AS r FROM l0)
+SELECT '{{"hierarchies":[' || to_json({{'facet': 'region', 'values': list({{'value': r_name, 'count': n, 'children': children}} ORDER BY r)}}) || '],"regular":[]}}' AS facets FROM k0 JOIN g1 USING (r_name) WHERE r <= 3""")
+def hierarchy_json(spark, sf_dir):
+    """The three most frequent values at every level, nested."""
+    return hierarchy.facets_json(customers_index(spark, sf_dir), 3)
+
+
+@query("""SELECT * FROM (VALUES ('orders', 'status', 'plain', 'o_orderstatus', 'dropdown'), ('orders', 'priority', 'plain', 'o_orderpriority', 'dropdown'), ('orders', 'price', 'bucket', 'o_totalprice', 'range'), ('orders', 'year', 'datetrunc', 'o_orderdate', 'datepicker')) t("table", facet_name, facet_type, base_column, ui_component)""")
+def catalog_reopened(spark, sf_dir):
+    """What a stored table is made of, as another session would read it."""
+    path = work_dir(spark)
+    Catalog(spark, path).save("orders", orders_index(spark, sf_dir, table(spark, sf_dir, "orders")))
+    index, _ = Catalog(spark, path).open("orders")
+    told, kinds = introspect.describe(index), introspect.facet_types(index)
+    ui = {r["facet_name"]: r["ui_component"] for r in introspect.introspect(index)["facets"]}
+    return spark.createDataFrame([(told["table"], n, kinds[n], index.facet(n).column, ui[n]) for n in introspect.facet_names(index)], "table string, facet_name string, facet_type string, base_column string, ui_component string")
+
+
+@query(f"WITH {ORDERS} {_COUNT} GROUP BY ALL")
+def catalog_counts(spark, sf_dir):
+    """Counts over a table opened from the catalogue."""
+    path = work_dir(spark)
+    Catalog(spark, path).save("orders", orders_index(spark, sf_dir, table(spark, sf_dir, "orders")))
+    return counts.drill_down(Catalog(spark, path).open("orders")[0])
+
+
+@query(f"WITH base AS (SELECT * FROM main.orders), {_AFTER}, {ORDERS} {_COUNT} WHERE facet_id = 2 GROUP BY ALL")
+def maintained_counts(spark, sf_dir):
+    """Counts that merge what is pending first."""
+    base, changes = _changes(spark, sf_dir)
+    kept = deltas.Maintained(orders_index(spark, sf_dir, base))
+    kept.change(changes)
+    return counts.counted(kept.current().of("priority"))
+
+
+@query(f"WITH base AS (SELECT * FROM main.orders), {_AFTER}, {ORDERS}, old AS (WITH orders AS (SELECT * FROM main.orders WHERE o_orderkey % 10 <> 0), {ORDERS} SELECT * FROM idx), d AS ((SELECT * FROM idx EXCEPT SELECT * FROM old) UNION ALL (SELECT * FROM old EXCEPT SELECT * FROM idx)) SELECT 'orders' AS \"table\", count(*)::BIGINT AS rows_merged, 'success' AS status, count(*)::BIGINT AS delta_count, false AS merged_early FROM d")
+def maintained_history(spark, sf_dir):
+    """The history of a merge, after a threshold that wasn't reached."""
+    base, changes = _changes(spark, sf_dir)
+    kept = deltas.Maintained(orders_index(spark, sf_dir, base))
+    kept.change(changes)
+    early = kept.merge_if(10**9)["merged"]
+    done = deltas.merge_all([kept])[0]
+    return spark.createDataFrame([(done["table"], done["rows_merged"], kept.history[0]["status"], kept.history[0]["delta_count"], early)], "table string, rows_merged long, status string, delta_count long, merged_early boolean")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import STOP_WORDS, simple_tokens, trigram_similarity, vector
+from ..functions.exprs import STOP_WORDS, simple_tokens, vector
 from ..operators import defs, filters, search
 from ..operators.index import FacetIndex
 from ..operators.text import TextIndex, worker_range
-from .facet_queries import query, table
+from ..sources import tables
+from ..sources.catalog import Catalog
+from ..sources.folders import work_dir
+from .facet_queries import query, stored, stored_at, table
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOP_WORDS))
 TOKENS = f"""words AS (SELECT doc_id, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM documents WHERE text IS NOT NULL AND text <> ''),
@@ -23,12 +26,18 @@ def _scored(terms: str) -> str:
     return f"s AS (SELECT doc_id, sum({_W}) AS score FROM p JOIN df USING (term) JOIN len USING (doc_id), st WHERE term IN ({terms}) GROUP BY ALL)"
 
 
+def built_text(spark, sf_dir, analyzer="simple") -> TextIndex:
+    return TextIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text", analyzer)
+
+
 def documents_text(spark, sf_dir) -> TextIndex:
-    return TextIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """The stored index of documents, written once for a session."""
+    return TextIndex.read(spark, stored_at(spark, sf_dir, "documents text", lambda path: built_text(spark, sf_dir).write(path)))
 
 
 def documents_facets(spark, sf_dir) -> FacetIndex:
-    return FacetIndex.build(table(spark, sf_dir, "documents"), "doc_id", [defs.plain("lang"), defs.plain("source"), defs.bucket("n_chars", [500, 2000, 8000], "length")], "documents")
+    built = FacetIndex.build(table(spark, sf_dir, "documents"), "doc_id", [defs.plain("lang"), defs.plain("source"), defs.bucket("n_chars", [500, 2000, 8000], "length")], "documents")
+    return stored(spark, sf_dir, built, "documents")
 
 
 FACETS = """idx AS (SELECT 1::INT AS facet_id, 'lang' AS facet_name, lang AS facet_value, doc_id FROM documents WHERE lang IS NOT NULL
@@ -38,12 +47,13 @@ FACETS = """idx AS (SELECT 1::INT AS facet_id, 'lang' AS facet_name, lang AS fac
 
 @query(f"WITH {TOKENS} SELECT term, doc_id, tf FROM p")
 def text_postings(spark, sf_dir):
-    return documents_text(spark, sf_dir).postings
+    """The postings as they are built, not read."""
+    return built_text(spark, sf_dir).postings.select("term", "doc_id", "tf")
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, doc_length FROM len")
 def text_lengths(spark, sf_dir):
-    return documents_text(spark, sf_dir).lengths
+    return built_text(spark, sf_dir).lengths
 
 
 @query(f"WITH {TOKENS} SELECT term, count(*)::BIGINT AS ndoc, sum(tf)::BIGINT AS nentry FROM p GROUP BY ALL ORDER BY nentry DESC, ndoc DESC, term LIMIT 100")
@@ -98,7 +108,7 @@ _SIM = f"(len(list_intersect({_GRAMS.format('term')}, {_GRAMS.format(chr(39) + '
 @query(f"WITH {TOKENS} SELECT term, round({_SIM}, 6) AS similarity FROM df WHERE {_SIM} >= 0.45")
 def terms_fuzzy(spark, sf_dir):
     found = search.like(documents_text(spark, sf_dir), "thedren", fuzzy=True, threshold=0.45)
-    return found.select("term", F.round(trigram_similarity(F.col("term"), F.col("asked")), 6).alias("similarity"))
+    return found.select("term", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"WITH {TOKENS}, s AS (SELECT doc_id, sum({_W}) AS score FROM p JOIN df USING (term) JOIN len USING (doc_id), st WHERE {_SIM} >= 0.45 GROUP BY ALL) SELECT doc_id, round(score, 6) AS score FROM s")
@@ -162,9 +172,66 @@ def worker_ranges(spark, sf_dir):
 @query()
 def text_stemmed_terms(spark, sf_dir):
     """Term statistics under the stemming analyzer (no SQL: stemming; tested against published word pairs)."""
-    return TextIndex.build(table(spark, sf_dir, "documents"), "doc_id", "text", "english").term_stats()
+    return built_text(spark, sf_dir, "english").term_stats()
 
 
-@query(f"SELECT doc_id, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM (SELECT item_id AS doc_id, text FROM benchmark) QUALIFY strlen(term) BETWEEN 2 AND 100 AND term NOT IN ({_STOP})".replace(" QUALIFY", "").replace("SELECT doc_id, unnest", "SELECT * FROM (SELECT doc_id, unnest").replace("FROM benchmark)", "FROM benchmark)) WHERE"))
+@query(f"SELECT doc_id, term FROM (SELECT doc_id, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM documents) WHERE strlen(term) BETWEEN 2 AND 100 AND term NOT IN ({_STOP})")
 def tokens(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.explode(simple_tokens(F.col("text"))).alias("term"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(simple_tokens(F.col("text"))).alias("term"))
+
+
+@query(f"WITH {TOKENS} SELECT term, df FROM df")
+def text_terms(spark, sf_dir):
+    """The stored dictionary that prefixes and typo-tolerant queries are looked up in."""
+    return documents_text(spark, sf_dir).terms()
+
+
+@query(f"WITH {TOKENS}, {_scored("'thedre', 'reaux'")}, w AS (SELECT doc_id, {_W} * CASE term WHEN 'thedre' THEN 2 ELSE 1 END AS w FROM p JOIN df USING (term) JOIN len USING (doc_id), st WHERE term IN ('thedre', 'reaux')), top AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS r FROM s) SELECT doc_id, round(sum(w), 6) AS score FROM w JOIN top USING (doc_id) WHERE r <= 3 GROUP BY ALL")
+def bm25_scores_of_documents(spark, sf_dir):
+    """Single documents' scores under a query that has a term twice, of the three best for it."""
+    text = documents_text(spark, sf_dir)
+    best = [r.doc_id for r in search.search(text, "thedre reaux", limit=3).collect()]
+    return spark.createDataFrame([(i, round(search.score(text, "thedre reaux thedre", i), 6)) for i in best], "doc_id long, score double")
+
+
+@query(f"WITH {TOKENS} SELECT DISTINCT doc_id FROM p WHERE starts_with(term, 'thedre') OR starts_with(term, 'reau')")
+def text_matches_prefix(spark, sf_dir):
+    return search.matches(documents_text(spark, sf_dir), "thedre reau", prefix=True)
+
+
+@query(f"WITH {TOKENS} SELECT n AS indexed, (SELECT count(*) FROM documents)::BIGINT AS source, round(100.0 * n / (SELECT count(*) FROM documents), 2)::DOUBLE AS percent, (SELECT count(*)::BIGINT FROM df) AS unique_terms FROM st")
+def text_progress(spark, sf_dir):
+    return documents_text(spark, sf_dir).progress(table(spark, sf_dir, "documents").count())
+
+
+@query(f"WITH {TOKENS.replace('FROM documents WHERE', "FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'replaced words ' || lang ELSE text END AS text FROM documents) documents WHERE").split('len AS')[0].rstrip().rstrip(',')} SELECT term, doc_id, tf FROM p")
+def text_after_upsert(spark, sf_dir):
+    """Every fourth document is replaced: that is the change under test."""
+    docs = table(spark, sf_dir, "documents")
+    new = docs.where("doc_id % 4 = 0").select("doc_id", F.concat(F.lit("replaced words "), "lang").alias("text"))
+    return documents_text(spark, sf_dir).upsert_existing(new, "doc_id", "text", docs).postings.select("term", "doc_id", "tf")
+
+
+@query(f"WITH {TOKENS} SELECT 'documents' AS \"table\", 'doc_id' AS key, 'simple' AS language, n AS total_documents, round(mean, 6) AS avg_document_length FROM st")
+def text_catalog_status(spark, sf_dir):
+    path = work_dir(spark)
+    Catalog(spark, path).save("documents", documents_facets(spark, sf_dir), documents_text(spark, sf_dir))
+    return Catalog(spark, path).status().select("table", "key", "language", "total_documents", F.round("avg_document_length", 6).alias("avg_document_length"))
+
+
+@query(f"WITH {TOKENS} SELECT 'facets' AS phase, (SELECT count(*) FROM documents WHERE lang IS NOT NULL)::BIGINT AS row_count UNION ALL SELECT 'text', n FROM st UNION ALL SELECT 'define', 1")
+def load_phases(spark, sf_dir):
+    """One-call load of facets and text, with its report."""
+    return tables.load(table(spark, sf_dir, "documents"), "doc_id", work_dir(spark), [defs.plain("lang")], "text")[2].drop("elapsed_ms")
+
+
+@query(f"""WITH {TOKENS}, s AS (SELECT doc_id, sum(ln((n + 1) / (df + 0.5)) * tf * 3.0 / (tf + 2.0 * (0.5 + 0.5 * doc_length / mean))) AS score FROM p JOIN df USING (term) JOIN len USING (doc_id), st WHERE starts_with(term, 'thedre') OR starts_with(term, 'heanor') GROUP BY ALL), f AS ({_EN}),
+h AS (SELECT * FROM s SEMI JOIN f USING (doc_id)), page AS (SELECT doc_id, round(score, 6) AS score, lang, source FROM h JOIN documents USING (doc_id) ORDER BY round(score, 6) DESC, doc_id LIMIT 5)
+SELECT doc_id AS id, score AS bm25_score, score AS combined_score, lang, (SELECT count(*) FROM h)::BIGINT AS total_found FROM page""")
+def search_response(spark, sf_dir):
+    """A whole answer as JSON (with prefixes, k1 and b), read again."""
+    docs = table(spark, sf_dir, "documents")
+    found = _combined(spark, sf_dir, filters_={"lang": "en", "source": ["src0", "src1", "src2"]}, prefix=True, k1=2.0, b=0.5, limit=5)
+    one = search.response_json(found, docs, "text", metadata=["lang"])
+    told = one.select(F.from_json("response", "results array<struct<id long, bm25_score double, combined_score double, metadata struct<lang string>>>, total_found long").alias("r"))
+    return told.select(F.explode("r.results").alias("x"), "r.total_found").select("x.id", "x.bm25_score", "x.combined_score", "x.metadata.lang", "total_found")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.defs import Facet
@@ -35,3 +37,22 @@ def set_up(df: DataFrame, key: str, facets: list[Facet] | None = None, content:
         index = index.write(f"{path}/facets")
         text = text.write(f"{path}/text") if text else None
     return index, text
+
+
+def load(df: DataFrame, key: str, path: str, facets: list[Facet] | None = None, content: str | None = None, analyzer: str = "simple", table: str = "") -> tuple[FacetIndex, TextIndex | None, DataFrame]:
+    """``set_up`` under a path, phase by phase, with a report: phase, row_count, elapsed_ms."""
+    phases, began = [], time.time()
+
+    def ended(phase: str, rows: int) -> None:
+        nonlocal began
+        phases.append((phase, rows, (time.time() - began) * 1000))
+        began = time.time()
+
+    index, text = set_up(df, key, facets, content, analyzer, table)
+    ended("define", len(index.facets))
+    index = index.write(f"{path}/facets")
+    ended("facets", index.rows.count())
+    if text:
+        text = text.write(f"{path}/text")
+        ended("text", text.numbers()[0])
+    return index, text, df.sparkSession.createDataFrame(phases, "phase string, row_count long, elapsed_ms double")

@@ -1,60 +1,84 @@
-"""Keeping a stored index current from a stream of changes.
+"""Keeping stored indexes current from a stream of changes (op, old, new).
 
-Each micro-batch nets its deltas, merges them with the newest snapshot and writes the next one under the batch's number; a pointer file is written
-last. A batch that runs again finds the pointer beyond it and does nothing, so merges happen once.
+Each micro-batch nets its changes and rewrites the blocks of the store that they touch. A batch that runs again finds itself in the store's pointer and
+does nothing, so merges happen once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import tokens
 from ..operators import deltas
 from ..operators.defs import Facet
-from ..operators.index import FacetIndex
+from ..operators.text import ANALYZERS, Analyzer, TextIndex
+from .store import BLOCK, BlockStore, once
 
 SCHEMA = "facet_id int, facet_name string, facet_value string, doc_id long"
 
 
-class Store:
-    """Snapshots under path/snapshot-N and a pointer, through Hadoop's file system."""
+class Store(BlockStore):
+    """A facet index in blocks of facet and document ids."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK):
+        super().__init__(spark, path, SCHEMA, ("facet_id",), block)
 
-    def _at(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def merge(self, net: DataFrame, note: dict | None = None) -> int:
+        """Net deltas merged into the blocks that they touch."""
+        return self.rewrite(self.blocks_of(net), lambda rows: deltas.merged(rows, net), note)
 
-    def newest(self) -> int | None:
-        folder, fs = self._at("pointer")
-        if not fs.exists(folder):
-            return None
-        return max((int(s.getPath().getName()) for s in fs.listStatus(folder)), default=None)
 
-    def read(self, number: int | None = None) -> DataFrame:
-        number = self.newest() if number is None else number
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/snapshot-{number}")
+class TextStore(BlockStore):
+    """A text index in blocks of document ids."""
 
-    def write(self, rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/snapshot-{number}")
-        pointer, fs = self._at(f"pointer/{number}")
-        fs.create(pointer, True).close()
-        for old in (number - 2,):  # readers of the last snapshot may still be at work
-            folder, fs = self._at(f"snapshot-{old}")
-            fs.delete(folder, True)
+    def __init__(self, spark: SparkSession, path: str, analyzer: Analyzer | str = "simple", block: int = BLOCK >> 4):
+        super().__init__(spark, path, tokens.SCHEMA, (), block)
+        self.analyzer = ANALYZERS[analyzer] if isinstance(analyzer, str) else analyzer
 
+    def index(self) -> TextIndex:
+        return TextIndex(self.read(), self.analyzer)
 
-def start(changes: DataFrame, store: Store, facets: list[Facet], key: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Merge a stream of changes (op, old, new) into the store, which must have a snapshot (number 0: write the first with ``store.write(rows, 0)``)."""
+    def replace(self, gone: DataFrame, new: DataFrame, note: dict | None = None) -> int:
+        """The documents gone (doc_id) taken out, and the index rows new, of documents among them, put in."""
+        return self.rewrite(self.blocks_of(gone), lambda rows: rows.join(gone.select("doc_id"), "doc_id", "left_anti").unionByName(new), note)
+
+
+def _query(batch: DataFrame) -> str | None:
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def _start(changes: DataFrame, merge, checkpoint: str, once_only: bool) -> StreamingQuery:
+    writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once_only else writer.trigger(processingTime="1 minute")).start()
+
+
+def start(changes: DataFrame, store: Store, facets: list[Facet], key: str, checkpoint: str, once_only: bool = False) -> StreamingQuery:
+    """Merge a stream of changes into the store, which must have been written (``store.write(index.rows)``)."""
     facets = [f if f.id else f.numbered(i) for i, f in enumerate(facets, 1)]
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        number, newest = batch_id + 1, store.newest()
-        if newest is not None and newest >= number:
+        note = once(store, _query(batch), batch_id)
+        if note is not None and not batch.isEmpty():
+            store.merge(deltas.net(deltas.of_changes(batch, key, facets)), note)
+
+    return _start(changes, merge, checkpoint, once_only)
+
+
+def start_text(changes: DataFrame, store: TextStore, key: str, text: str, checkpoint: str, once_only: bool = False) -> StreamingQuery:
+    """Keep a stored text index current from a stream of changes, document by document.
+
+    Of several changes of a key in one batch the one with the greatest ``seq`` counts, if changes have that column; else a batch may have one for a key.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        note = once(store, _query(batch), batch_id)
+        if note is None or batch.isEmpty():
             return
-        index = FacetIndex(store.read(newest), facets, key)
-        store.write(deltas.apply(index, deltas.net(deltas.of_changes(batch, key, facets))).rows, number)
+        rows = batch.withColumn("doc_id", F.coalesce(f"new.{key}", f"old.{key}").cast("long"))
+        rows = rows.groupBy("doc_id").agg(F.max_by(F.struct("op", "new"), "seq" if "seq" in batch.columns else F.lit(0)).alias("c"))
+        new = rows.where("c.op <> 'delete'").select("c.new.*")
+        store.replace(rows.select("doc_id"), tokens.counted(new, key, F.col(text), store.analyzer.stem), note)
 
-    writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
+    return _start(changes, merge, checkpoint, once_only)

@@ -17,10 +17,10 @@ from .operators.text import ANALYZERS, TextIndex
 class FacetedTable:
     """``df`` with an index of facets and, with a content column, one of text. Every read sees the changes made before it."""
 
-    def __init__(self, df: DataFrame, key: str, facets: list[Facet] | None = None, content: str | None = None, language: str = "simple", name: str = "", store: Callable[[FacetIndex], FacetIndex] = lambda i: i):
+    def __init__(self, df: DataFrame, key: str, facets: list[Facet] | None = None, content: str | None = None, language: str = "simple", name: str = "", store: Callable[[FacetIndex], FacetIndex] | None = None):
         self.df, self.key, self.content, self.name = df, key, content, name
         index = FacetIndex.build(df, key, facets, name) if facets else FacetIndex.from_columns(df, key, content=content, table=name)
-        self.maintained = Maintained(store(index), store=store)
+        self.maintained = Maintained(store(index), store=store) if store else Maintained(index)
         self.text = TextIndex.build(df, key, content, language) if content else None
 
     @property
@@ -56,7 +56,7 @@ class FacetedTable:
     def facet_counts(self, facet: str, wanted: filters.Filters = None, limit: int = 10) -> DataFrame:
         return counts.facet_counts(self.index, facet, filters.documents(self.index, wanted), limit)
 
-    def hierarchical_facets(self, n: int = 5, wanted: filters.Filters = None) -> dict:
+    def hierarchical_facets(self, n: int = 5, wanted: filters.Filters = None) -> DataFrame:
         return hierarchy.facets_json(self.index, n, filters.documents(self.index, wanted))
 
     # changes

@@ -1,16 +1,19 @@
 """Small cases: awkward rows, published numbers, decisions where sources disagree."""
 
+import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from facetloom.functions import exprs, stemmer
+from facetloom.functions import exprs, snowball, stemmer
 from facetloom.operators import counts, defs, deltas, filters, hierarchy, introspect, search
 from facetloom.operators.index import FacetIndex, chunk_bits, read_index
 from facetloom.operators.text import TextIndex, worker_range
 from facetloom.sources import tables
-from facetloom.streaming.merge import Store, start
+from facetloom.sources.catalog import Catalog
+from facetloom.streaming.merge import Store, TextStore, start, start_text
+from facetloom.streaming.store import once
 
 
 @pytest.fixture(scope="module")
@@ -113,17 +116,152 @@ def test_deltas(spark, things, index):
     assert [r["status"][:5] for r in deltas.merge_all([broken, kept])] == ["error", "succe"] and broken.history[0]["status"] == "error"
 
 
+def test_a_failing_merge_changes_nothing(spark, things, index):
+    row = things.schema.simpleString()
+    bad = spark.createDataFrame([("update", (1, "r", ["z"], 1.0, True), (9, "a", [], 1.0, True))], f"op string, old {row}, new {row}")
+    kept = deltas.Maintained(index)
+    kept.change(bad)
+    with pytest.raises(Exception, match="must not change the key"):
+        kept.merge()
+    assert kept.index is index and kept.pending is not None and kept.history[0]["status"] == "error"
+
+
 def test_stream_of_changes(spark, things, index, tmp_path):
     row = things.schema.simpleString()
     schema = f"op string, old {row}, new {row}"
-    store = Store(spark, f"{tmp_path}/store")
-    store.write(index.rows, 0)
+    store = Store(spark, f"{tmp_path}/store", block=4)
+    store.write(index.rows)
     for i in (10, 11):
         spark.createDataFrame([("insert", None, (i, "s", ["q"], 1.0, True))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
-        start(stream, store, index.facets, "id", f"{tmp_path}/check", once=True).awaitTermination()
+        start(stream, store, index.facets, "id", f"{tmp_path}/check", once_only=True).awaitTermination()
     assert store.newest() == 2
     assert ids(store.read().where("facet_name = 'kind' AND facet_value = 's'")) == [10, 11] and store.read().count() == 17 + 8
+    note = store.written_by()
+    assert note["query"] and note["batch"] == 1 and once(store, note["query"], 1) is None and once(store, note["query"], 2) == {"query": note["query"], "batch": 2}
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="last written by streaming query"):
+        start(stream, store, index.facets, "id", f"{tmp_path}/other", once_only=True).awaitTermination()
+
+
+def test_a_merge_rewrites_what_it_touches(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "CAST(id % 7 AS string) AS kind", "CAST(id % 3 AS string) AS size")
+    index = FacetIndex.build(df, "id", [defs.plain("kind"), defs.plain("size")])
+    store = Store(spark, f"{tmp_path}/store", block=10)
+    store.write(index.rows)
+    row = df.schema.simpleString()
+    changes = spark.createDataFrame([("update", (i, str(i % 7), str(i % 3)), (i, "x", str(i % 3))) for i in (500, 501, 509)] + [("delete", (i, str(i % 7), str(i % 3)), None) for i in range(20, 30)], f"op string, old {row}, new {row}")
+    store.merge(deltas.net(deltas.of_changes(changes, "id", index.facets)))
+    blocks = store.manifest().groupBy("v").count().collect()
+    assert {r.v: r["count"] for r in blocks} == {0: 2 * 100 - 3, 1: 1}  # two facets' block 20 to 29 is empty now, one's 500 to 509 is new
+    after = df.where("id NOT BETWEEN 20 AND 29").withColumn("kind", F.when(F.col("id").isin(500, 501, 509), "x").otherwise(F.col("kind")))
+    want = {tuple(r) for r in FacetIndex.build(after, "id", [defs.plain("kind"), defs.plain("size")]).rows.collect()}
+    assert {tuple(r) for r in store.read().select(*index.rows.columns).collect()} == want
+    assert store.vacuum() == []
+
+
+def test_stream_of_texts(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "id long, content string")
+    row = df.schema.simpleString()
+    store = TextStore(spark, f"{tmp_path}/text", block=8)
+    store.write(TextIndex.build(df, "id", "content").rows)
+    batches = [[("update", (3, "word3 common"), (3, "changed"), 1), ("update", (3, "changed"), (3, "changed again"), 2)], [("delete", (4, "word4 common"), None, 3), ("insert", None, (60, "new common common"), 4)]]
+    for changes in batches:
+        spark.createDataFrame(changes, f"op string, old {row}, new {row}, seq int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+        start_text(stream, store, "id", "content", f"{tmp_path}/check", once_only=True).awaitTermination()
+    after = df.where("id NOT IN (3, 4)").unionByName(spark.createDataFrame([(3, "changed again"), (60, "new common common")], df.schema))
+    want = {tuple(r) for r in TextIndex.build(after, "id", "content").rows.collect()}
+    assert {tuple(r) for r in store.read().collect()} == want
+    assert ids(search.search(store.index(), "again new")) == [3, 60]
+
+
+def test_catalog(spark, things, tmp_path):
+    catalog = Catalog(spark, f"{tmp_path}/catalog")
+    assert catalog.names() == [] and catalog.status().first().table is None and not catalog.is_registered("things")
+    index = FacetIndex.build(things, "id", [defs.plain("kind"), defs.array("tags", "tags"), defs.bucket("price", [1, 10.5], "price"), defs.function(lambda: F.length("kind"), "len")])
+    catalog.save("things", index, TextIndex.build(things, "id", "kind", "german"))
+    opened, text = Catalog(spark, f"{tmp_path}/catalog").open("things")
+    assert {tuple(r) for r in opened.rows.collect()} == {tuple(r) for r in index.rows.collect()} and text.analyzer.name == "german"
+    assert [(f.id, f.name, f.kind, f.params) for f in opened.facets] == [(f.id, f.name, f.kind, f.params) for f in index.facets]
+    changed = catalog.open("things", defs.function(lambda: F.length("kind"), "len"))[0].refresh(things.where("id = 1"))
+    assert {tuple(r) for r in changed.rows.collect()} == {tuple(r) for r in index.refresh(things.where("id = 1")).rows.collect()}
+    assert catalog.status().first().facet_count == 4 and catalog.drop("things") and catalog.names() == [] and catalog.drop("things")
+    with pytest.raises(KeyError):
+        catalog.open("things")
+
+
+def test_many_conditions(spark):
+    df = spark.createDataFrame([(1, [str(i) for i in range(100)]), (2, [str(i) for i in range(99)])], "id long, tags array<string>")
+    index = FacetIndex.build(df, "id", [defs.array("tags", "tags")])
+    wanted = [("tags", str(i)) for i in range(100)]
+    assert ids(filters.documents(index, wanted, match_all=True)) == [1] and ids(filters.documents(index, wanted[:99], match_all=True)) == [1, 2]
+
+
+def test_changed_edges(spark):
+    df = spark.createDataFrame([(1, "A", "a1"), (2, "A", "a2"), (3, "B", "b1")], "id long, top string, mid string")
+    build = lambda d: FacetIndex.build(d, "id", [defs.plain("top"), defs.plain("mid", parent="top")])
+    after = df.where("id <> 2").unionByName(spark.createDataFrame([(4, "A", "a1")], df.schema))
+    got = hierarchy.edges_changed(hierarchy.edges(build(df)), build(df), build(after), spark.createDataFrame([(2,), (4,)], "doc_id long"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in hierarchy.edges(build(after)).collect()} == {("top", "A", "mid", "a1", 2), ("top", "B", "mid", "b1", 1)}
+
+
+def test_nested_hierarchy(spark):
+    df = spark.createDataFrame([(1, "A", "a1"), (2, "A", "a2"), (3, "B", "b1"), (4, "A", None), (5, "A", "a2")], "id long, top string, mid string")
+    index = FacetIndex.build(df, "id", [defs.plain("top"), defs.plain("mid", parent="top"), defs.plain("mid", "other")])
+    told = json.loads(hierarchy.facets_json(index, 2).first().facets)
+    assert told["hierarchies"] == [{"facet": "top", "values": [{"value": "A", "count": 4, "children": [{"value": "a2", "count": 2}, {"value": "a1", "count": 1}]}, {"value": "B", "count": 1, "children": [{"value": "b1", "count": 1}]}]}]
+    assert [f["facet_name"] for f in told["regular"]] == ["other"]
+
+
+def test_text_variants(spark, tmp_path):
+    df = spark.createDataFrame([(1, "red lamp"), (2, "blue lamp"), (3, "the")], "id long, content string")
+    text = TextIndex.build(df.where("id < 3"), "id", "content")
+    more = text.upsert_existing(spark.createDataFrame([(3, "green"), (9, "ghost")], df.schema), "id", "content", df)
+    assert ids(more.lengths) == [1, 2, 3] and ids(more.delete_existing(spark.createDataFrame([(1,), (9,)], "doc_id long"), "id", df).lengths) == [2, 3]
+    stored = TextIndex.build(df, "id", "content").write(f"{tmp_path}/t")
+    again = TextIndex.read(spark, f"{tmp_path}/t")
+    assert again.numbers() == (3, 4 / 3) and {tuple(r) for r in again.terms().collect()} == {("red", 1), ("blue", 1), ("lamp", 2)}
+    for how in ({}, {"prefix": True}, {"fuzzy": True}):
+        assert [tuple(r) for r in search.search(stored, "lam lamp", **how).collect()] == [tuple(r) for r in search.search(TextIndex.build(df, "id", "content"), "lam lamp", **how).collect()]
+    assert search.explain(stored, 1).count() == 2 and search.explain(stored, 3).count() == 0
+
+
+def test_search_response(spark):
+    df = spark.createDataFrame([(1, "red lamp", "2024"), (2, "red table", "2025"), (3, "redder", "2023")], "doc_id long, content string, made string")
+    text, index = TextIndex.build(df, "doc_id", "content"), FacetIndex.build(df, "doc_id", [defs.plain("made")])
+    found = search.search_documents(df, text, "red", index, prefix=True, k1=1.0, b=0.5)
+    told = json.loads(search.response_json(found, df, "content", created_at="made", metadata=["made"]).first().response)
+    assert told["total_found"] == 3 and [r["id"] for r in told["results"]] == [3, 1, 2] and told["results"][1]["created_at"] == "2024" and told["results"][1]["metadata"] == {"made": "2024"}
+    assert {v["value"] for v in told["facets"][0]["values"]} == {"2023", "2024", "2025"}
+    none = json.loads(search.response_json(search.search_documents(df, text, "nothing"), df, "content").first().response)
+    assert none == {"results": [], "facets": [], "total_found": 0}
+
+
+def test_snowball():
+    german = "aufeinander aufeinand aufeinanderfolgenden aufeinanderfolg kategorischer kategor kategorie kategori katers kat katze katz häuser haus auferlegten auferlegt kaufmännisch kaufmann aufenthalts aufenthalt straße strass"
+    spanish = "cheque chequ chequeo cheque chicas chic chicharrones chicharron torneado torn tórax torax torneos torne torreón torreon torpemente torpement tornarán torn chilenos chilen tortillería tortill siguen sig ciudades ciudad"
+    for language, pairs in (("german", german.split()), ("spanish", spanish.split())):
+        for word, want in zip(pairs[::2], pairs[1::2], strict=True):
+            assert snowball.stem(language, word) == want, word
+
+
+def test_counted_words_against_the_expression(spark):
+    odd = ["The QUICK, brown-fox x Ünïcode ÀB", "", "a the of", "w" * 101 + " " + "w" * 100, "naïve 42 e 日本語 é", None, "x", "aa aa AA", "ends with word", "日本", "word " * 5000]
+    df = spark.createDataFrame(list(enumerate(odd)), "id long, t string").coalesce(1)
+    got = {(r.doc_id, r.term): (r.tf, r.doc_length) for r in TextIndex.build(df, "id", "t").rows.collect()}
+    want = {}
+    for i, t in enumerate(odd):
+        if t:
+            words = exprs.simple_tokens_of(t)
+            want |= {(i, ""): (0, len(words))} | {(i, w): (words.count(w), len(words)) for w in words}
+    assert got == want
+
+
+def test_load_report(spark, things, tmp_path):
+    index, text, phases = tables.load(things, "id", f"{tmp_path}/x", content="kind")
+    assert [r.phase for r in phases.collect()] == ["define", "facets", "text"] and all(r.elapsed_ms >= 0 for r in phases.collect())
+    assert phases.where("phase = 'facets'").first().row_count == index.rows.count()
 
 
 def test_joined_facets(spark, things):
@@ -140,7 +278,7 @@ def test_hierarchy(spark):
     assert hierarchy.shape(index) == {"hierarchical": ["top", "mid", "low"], "regular": ["other"], "roots": ["top"]}
     got = {(r.level, r.path): r.cardinality for r in hierarchy.paths(index, "top").collect()}
     assert got == {(0, "A"): 2, (0, "B"): 1, (1, "A > a1"): 1, (1, "A > a2"): 1, (1, "B > a1"): 1, (2, "A > a1 > x"): 1, (2, "A > a2 > x"): 1}
-    both = hierarchy.facets_json(index, 1)
+    both = hierarchy.facets(index, 1)
     assert {r.path for r in both["hierarchies"]["top"].where("level = 0").collect()} == {"A"} and both["regular"].count() == 1
     told = introspect.introspect(index)
     assert told["hierarchy"]["relationships"] == [{"parent": "top", "child": "mid"}, {"parent": "mid", "child": "low"}] and told["facets"][0]["ui_component"] == "tree"
@@ -250,4 +388,9 @@ def test_faceted_table(spark):
     t.refresh()
     assert ids(t.bm25_search("red green")) == [3, 4] and ids(t.filter_documents({"kind": "vase"})) == [4]
     assert {r.facet_value for r in t.top_values().collect()} == {"lamp", "table", "vase"} and t.facet_counts("kind").count() == t.count_results().count() == 3
-    assert t.hierarchical_facets()["regular"].count() == 3
+    told = json.loads(t.hierarchical_facets().first().facets)
+    assert told["hierarchies"] == [] and {v["value"]: v["count"] for v in told["regular"][0]["values"]} == {"lamp": 1, "table": 1, "vase": 1}
+    browse = FacetedTable(df, "id", [defs.plain("kind")]).search(None, {"kind": "lamp"})
+    assert ids(browse.page) == [1, 3]
+    with pytest.raises(ValueError, match="text index"):
+        FacetedTable(df, "id", [defs.plain("kind")]).search("lamp")
