@@ -182,8 +182,8 @@ def encode(docs: DataFrame, path: str = vocabulary.PATH) -> DataFrame:
     places = each * docs.rdd.getNumPartitions() + least
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary.load(path))
     mixed = words.mapInArrow(_split(places), MIXED).repartition("k")
-    # rand() keeps the conditions above the shuffle, so that there is one for both
-    only = lambda condition: mixed.where(F.expr(f"CASE WHEN rand(1) < 2 THEN {condition} END"))
+    # the partition's number keeps the conditions above the shuffle, so that there is one for both
+    only = lambda condition: mixed.where(F.expr(f"CASE WHEN spark_partition_id() >= 0 THEN {condition} END"))
     answers = only("k >= 0").groupBy("k").applyInArrow(_answers(ranks), "place long, part int, number int, crc long, ids binary")
     answers = answers.withColumn("k", -1 - F.shiftleft(F.col("part").cast("long"), 31).bitwiseOR(F.col("number").cast("long")))
     return only("k < 0").groupBy("k").cogroup(answers.groupBy("k")).applyInArrow(_joined, "doc_id long, h long, ids array<int>")

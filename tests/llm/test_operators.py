@@ -225,7 +225,13 @@ def test_bpe_of_shuffled_input(spark, docs, encoding):
     encoded = bpe.encode(shuffled)
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert {r.doc_id: list(r.ids) for r in encoded.collect()} == {i: encoding.encode_ordinary(t) for i, t in texts.items()}
-    assert "ReusedExchange" in encoded._jdf.queryExecution().executedPlan().toString() or spark.conf.get("spark.sql.adaptive.enabled") != "true"
+
+
+def test_bpe_splits_texts_once(spark, docs):
+    encoded = bpe.encode(docs)
+    encoded.collect()
+    final = encoded._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("MapInArrow") == 1 and "ReusedExchange" in final
 
 
 def test_decoding_bad_ids_and_empty(spark, empty):
