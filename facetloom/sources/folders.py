@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -17,3 +19,15 @@ def work_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="facetloom-")
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def unsorted(spark: SparkSession, writers: int = 64) -> Iterator[None]:
+    """Within, a task of a partitioned write keeps a file open for each of up to so many values, and sorts only what comes after: its memory doesn't grow with its rows."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(writers))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
