@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.folders import unsorted
 from .defs import Facet
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -103,8 +104,9 @@ class FacetIndex:
         return FacetIndex(rows, self.facets, self.key, self.table, df, names is None)
 
     def write(self, path: str) -> FacetIndex:
-        """Store the index by facet and go on from the stored one."""
-        self.rows.write.partitionBy("facet_id").mode("overwrite").parquet(path)
+        """Store the index by facet, without sorting by it, and go on from the stored one."""
+        with unsorted(self.rows.sparkSession):
+            self.rows.write.partitionBy("facet_id").option("parquet.block.size", 32 << 20).mode("overwrite").parquet(path)
         return FacetIndex(self.rows.sparkSession.read.schema(self.rows.schema).parquet(path).select(*self.rows.columns), self.facets, self.key, self.table, self.docs)
 
     def cardinality(self) -> DataFrame:

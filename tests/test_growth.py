@@ -1,5 +1,7 @@
 """What a query costs must grow no faster than its input: small cases of that."""
 
+from facetloom.operators import defs
+from facetloom.operators.index import FacetIndex
 from facetloom.operators.text import TextIndex
 from facetloom.streaming.merge import TextStore
 
@@ -35,3 +37,14 @@ def test_small_batches_of_texts_leave_blocks_alone(spark, tmp_path):
     batch({1000: "far", -1: "negative", -64: "edge"}, [-999])
     batch({}, [1000, -1])
     assert store.vacuum() == []
+
+
+def test_a_written_index_is_not_sorted(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "CAST(id % 7 AS string) AS kind", "CAST(id % 3 AS string) AS size")
+    index = FacetIndex.build(df, "id", [defs.plain("kind"), defs.plain("size")])
+    stored = index.write(f"{tmp_path}/i")
+    plans = spark._jsparkSession.sharedState().statusStore().executionsList()
+    written = [p for p in (plans.apply(i).physicalPlanDescription() for i in range(plans.size())) if f"{tmp_path}/i" in p and "InsertIntoHadoopFsRelation" in p]
+    assert written and "Sort" not in written[-1]
+    assert rows(stored.rows) == rows(index.rows) and len(list((tmp_path / "i").glob("facet_id=*"))) == 2
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
