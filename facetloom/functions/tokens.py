@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .exprs import STOP_WORDS
 
 #: Bytes of text that are looked at together; a longer text is looked at alone, and whole.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
+#: Words whose stems a task keeps.
+KNOWN = 200_000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _WORD = np.zeros(256, bool)
@@ -84,17 +86,19 @@ def _counter(stem: Callable[[str], str] | None, lengths: bool):
                 key, tf = np.unique(doc * max(1, len(terms)) + code, return_counts=True)
                 at, code = key // max(1, len(terms)), key % max(1, len(terms))
                 columns = [ids.take(pa.array(at)), pa.array(terms, pa.string()).take(pa.array(code)), pa.array(tf.astype(np.int64)), pa.array(size[at])]
-                if lengths:  # one row more for each document, of no term
+                if lengths:  # one row more for each document, of no term; its tf is the number of its terms
                     n = len(ids)
-                    columns = [pa.concat_arrays([c, x]) for c, x in zip(columns, [ids, pa.array([""] * n, pa.string()), pa.array(np.zeros(n, np.int64)), pa.array(size)], strict=True)]
+                    columns = [pa.concat_arrays([c, x]) for c, x in zip(columns, [ids, pa.array([""] * n, pa.string()), pa.array(np.bincount(at, minlength=n).astype(np.int64)), pa.array(size)], strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "term", "tf", "doc_length"])
-                if len(known) > 1_000_000:
+                if len(known) > KNOWN:
                     known.clear()
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
 def counted(df: DataFrame, key: str, text: Column, stem: Callable[[str], str] | None = None, lengths: bool = True) -> DataFrame:
-    """doc_id, term, tf, doc_length: a row for each term of each text and, with ``lengths``, one of the empty term for each text that isn't null or empty. One narrow pass, no shuffle."""
+    """doc_id, term, tf, doc_length: a row for each term of each text and, with ``lengths``, one of the empty term, with the number of different terms as tf, for each text that isn't null or empty. One narrow pass, no shuffle."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), text.alias("t")).where("t IS NOT NULL AND t <> ''")
     return rows.mapInArrow(_counter(stem, lengths), SCHEMA)

@@ -21,6 +21,11 @@ def work_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def unsorted(spark: SparkSession, writers: int = 64) -> Iterator[None]:
     """Within, a task of a partitioned write keeps a file open for each of up to so many values, and sorts only what comes after: its memory doesn't grow with its rows."""
