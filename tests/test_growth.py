@@ -3,10 +3,10 @@
 import pyarrow as pa
 
 from facetloom.functions import tokens
-from facetloom.operators import defs
+from facetloom.operators import defs, deltas
 from facetloom.operators.index import FacetIndex
 from facetloom.operators.text import TextIndex
-from facetloom.streaming.merge import TextStore
+from facetloom.streaming.merge import Store, TextStore
 
 
 def rows(df):
@@ -97,3 +97,27 @@ def test_stems_kept_are_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "KNOWN", 2)
     out = list(tokens._counter(lambda w: stemmed.append(w) or w[:4], False)(batch(i) for i in range(4)))
     assert [b.to_pydict()["tf"] for b in out] == [[2]] * 4 and stemmed.count("lamps") == 2
+
+
+def test_small_batches_of_changes_leave_blocks_alone(spark, tmp_path):
+    kinds = {i: f"k{i % 3}" for i in range(100)}
+    facets = FacetIndex.build(spark.createDataFrame([(0, "a")], "id long, kind string"), "id", [defs.plain("kind")]).facets
+    want = lambda: sorted((1, "kind", k, i) for i, k in kinds.items())
+    store = Store(spark, f"{tmp_path}/s", block=64)
+    store.write(FacetIndex.build(spark.createDataFrame(sorted(kinds.items()), "id long, kind string"), "id", [defs.plain("kind")]).rows)
+
+    def batch(new):
+        changes = [("update" if i in kinds and k else "insert" if k else "delete", (i, kinds[i]) if i in kinds else None, (i, k) if k else None) for i, k in new.items()]
+        for i, k in new.items():
+            kinds.pop(i, None)
+            kinds.update({i: k} if k else {})
+        store.merge(deltas.net(deltas.of_changes(spark.createDataFrame(changes, "op string, old struct<id: long, kind: string>, new struct<id: long, kind: string>"), "id", facets)))
+        assert rows(store.read()) == want()
+
+    batch({3: "x", 4: None})
+    batch({4: "k1", 3: "k0"})
+    batch({3: None, 90: "y"})
+    assert folders(tmp_path / "s/data") == [0]
+    batch({i: "z" for i in range(30)})
+    assert folders(tmp_path / "s/data") == [0, 4]
+    batch({i: None for i in range(64)})
