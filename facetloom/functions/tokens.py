@@ -62,7 +62,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return found, np.searchsorted(offsets, start, side="right") - 1
 
 
-def _counter(stem: Callable[[str], str] | None, lengths: bool):
+def _counter(stem: Callable[[str], str] | None, lengths: bool, numbers: bool = False):
     stop = frozenset(STOP_WORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,9 +86,9 @@ def _counter(stem: Callable[[str], str] | None, lengths: bool):
                 key, tf = np.unique(doc * max(1, len(terms)) + code, return_counts=True)
                 at, code = key // max(1, len(terms)), key % max(1, len(terms))
                 columns = [ids.take(pa.array(at)), pa.array(terms, pa.string()).take(pa.array(code)), pa.array(tf.astype(np.int64)), pa.array(size[at])]
-                if lengths:  # one row more for each document, of no term; its tf is the number of its terms
+                if lengths:  # one row more for each document, of no term
                     n = len(ids)
-                    columns = [pa.concat_arrays([c, x]) for c, x in zip(columns, [ids, pa.array([""] * n, pa.string()), pa.array(np.bincount(at, minlength=n).astype(np.int64)), pa.array(size)], strict=True)]
+                    columns = [pa.concat_arrays([c, x]) for c, x in zip(columns, [ids, pa.array([""] * n, pa.string()), pa.array(np.bincount(at if numbers else at[:0], minlength=n).astype(np.int64)), pa.array(size)], strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "term", "tf", "doc_length"])
                 if len(known) > KNOWN:
                     known.clear()
@@ -98,7 +98,7 @@ def _counter(stem: Callable[[str], str] | None, lengths: bool):
     return run
 
 
-def counted(df: DataFrame, key: str, text: Column, stem: Callable[[str], str] | None = None, lengths: bool = True) -> DataFrame:
-    """doc_id, term, tf, doc_length: a row for each term of each text and, with ``lengths``, one of the empty term, with the number of different terms as tf, for each text that isn't null or empty. One narrow pass, no shuffle."""
+def counted(df: DataFrame, key: str, text: Column, stem: Callable[[str], str] | None = None, lengths: bool = True, numbers: bool = False) -> DataFrame:
+    """doc_id, term, tf, doc_length: a row for each term of each text and, with ``lengths``, one of the empty term (tf 0 or, with ``numbers``, its number of terms) for each text that isn't null or empty. One narrow pass, no shuffle."""
     rows = df.select(F.col(key).cast("long").alias("doc_id"), text.alias("t")).where("t IS NOT NULL AND t <> ''")
-    return rows.mapInArrow(_counter(stem, lengths), SCHEMA)
+    return rows.mapInArrow(_counter(stem, lengths, numbers), SCHEMA)
