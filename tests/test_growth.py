@@ -1,6 +1,7 @@
 """What a query costs must grow no faster than its input: small cases of that."""
 
 import pyarrow as pa
+import pytest
 
 from facetloom.functions import tokens
 from facetloom.operators import defs, deltas
@@ -150,3 +151,25 @@ def test_reads_shuffle_only_changed_documents(spark, tmp_path, monkeypatch):
     assert rows(spark.read.parquet(f"{tmp_path}/few")) == want and 0 < moved(spark, f"{tmp_path}/few") < 100
     monkeypatch.setattr("facetloom.streaming.merge._WORDS", 0)
     assert rows(store.read()) == want  # by shuffling all
+
+
+#: Of each query over the index of parts, whether its rows are right.
+PARTS = {
+    "filter_every_value": lambda out, parts: [r[0] for r in out] == [p[0] for p in parts if p[3] == "LARGE BRASS" and p[4] > 25],
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_the_index_of_parts_is_stored_without_sorting(spark, tmp_path, monkeypatch, name):
+    """A sort by facet holds a task's index rows in memory, several for each part."""
+    from facetloom.plans import facet_queries
+
+    parts = [(i, f"blue part{i % 5}", ("Brand#11", "Brand#12")[i % 2], ("ECONOMY TIN", "LARGE BRASS", "SMALL TIN")[i % 3], i % 50 + 1, 900.0 + i) for i in range(2000)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(facet_queries, "work_dir", lambda _: f"{tmp_path}/stored")
+    assert PARTS[name](rows(facet_queries.QUERIES[name](spark, str(tmp_path))), parts)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+    written = [p for p in plans if f"{tmp_path}/stored" in p and "InsertIntoHadoopFsRelation" in p]
+    assert len(written) == 1 and "Sort" not in written[0]
