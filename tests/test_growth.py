@@ -156,6 +156,7 @@ def test_reads_shuffle_only_changed_documents(spark, tmp_path, monkeypatch):
 #: Of each query over the index of parts, whether its rows are right.
 PARTS = {
     "filter_every_value": lambda out, parts: [r[0] for r in out] == [p[0] for p in parts if p[3] == "LARGE BRASS" and p[4] > 25],
+    "cardinality_stats": lambda out, parts: len(out) == 65 and sum(r[3] for r in out) == 8 * len(parts),
 }
 
 
