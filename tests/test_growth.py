@@ -157,6 +157,7 @@ def test_reads_shuffle_only_changed_documents(spark, tmp_path, monkeypatch):
 PARTS = {
     "filter_every_value": lambda out, parts: [r[0] for r in out] == [p[0] for p in parts if p[3] == "LARGE BRASS" and p[4] > 25],
     "cardinality_stats": lambda out, parts: len(out) == 65 and sum(r[3] for r in out) == 8 * len(parts),
+    "facets_for_ui": lambda out, parts: sorted(r[1] for r in out) == [1, 2, 3, 4, 5, 6],
 }
 
 
