@@ -3,7 +3,7 @@
 import pyarrow as pa
 import pytest
 
-from facetloom.functions import tokens
+from facetloom.functions import stemmer, tokens
 from facetloom.operators import defs, deltas
 from facetloom.operators.index import FacetIndex
 from facetloom.operators.text import TextIndex
@@ -96,6 +96,13 @@ def test_stems_kept_are_bounded(monkeypatch):
     assert [b.to_pydict()["tf"] for b in out] == [[2]] * 4 and stemmed.count("lamps") == 2
 
 
+def test_stemming_a_word_sorts_no_endings(monkeypatch):
+    """Few stems are kept, so words are stemmed again and again."""
+    monkeypatch.setattr(stemmer, "sorted", None, raising=False)
+    found = [stemmer.stem(w) for w in ("relational", "digitization", "apology", "boldly", "hopefulness", "formalize", "generative", "adoption", "rationion", "youthful", "li", "ion", "ogi", "sky's", "y'yed")]
+    assert found == ["relat", "digit", "apolog", "bold", "hope", "formal", "generat", "adopt", "rationion", "youth", "li", "ion", "ogi", "ski", "y'i"]
+
+
 def test_small_batches_of_changes_leave_blocks_alone(spark, tmp_path):
     kinds = {i: f"k{i % 3}" for i in range(100)}
     facets = FacetIndex.build(spark.createDataFrame([(0, "a")], "id long, kind string"), "id", [defs.plain("kind")]).facets
