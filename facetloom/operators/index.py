@@ -17,6 +17,8 @@ from ..sources.folders import unsorted
 from .defs import Facet
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: Bytes of a stored index's row groups: one is read by one task, so they bound what a task of a filter holds.
+GROUP = 4 << 20
 
 
 def long_form(df: DataFrame, key: str, facets: Iterable[Facet]) -> DataFrame:
@@ -106,7 +108,7 @@ class FacetIndex:
     def write(self, path: str) -> FacetIndex:
         """Store the index by facet, without sorting by it, and go on from the stored one."""
         with unsorted(self.rows.sparkSession):
-            self.rows.write.partitionBy("facet_id").option("parquet.block.size", 32 << 20).mode("overwrite").parquet(path)
+            self.rows.write.partitionBy("facet_id").option("parquet.block.size", GROUP).mode("overwrite").parquet(path)
         return FacetIndex(self.rows.sparkSession.read.schema(self.rows.schema).parquet(path).select(*self.rows.columns), self.facets, self.key, self.table, self.docs)
 
     def cardinality(self) -> DataFrame:

@@ -1,10 +1,12 @@
 """What a query costs must grow no faster than its input: small cases of that."""
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from facetloom.functions import stemmer, tokens
-from facetloom.operators import defs, deltas
+from facetloom.operators import defs, deltas, filters
 from facetloom.operators.index import FacetIndex
 from facetloom.operators.text import TextIndex
 from facetloom.streaming.merge import Store, TextStore
@@ -54,6 +56,17 @@ def test_a_written_index_is_not_sorted(spark, tmp_path):
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
 
 
+def test_row_groups_of_an_index_are_bounded(spark, tmp_path):
+    """A filter's task holds the ids of a row group at least, however many tasks there are."""
+    df = spark.range(0, 1_500_000, 1, 1)
+    index = FacetIndex.build(df, "id", [defs.boolean(F.col("id") % 2 == 0, "even")])
+    stored = index.write(f"{tmp_path}/i")
+    (file,) = (tmp_path / "i/facet_id=1").glob("*.parquet")
+    found = pq.ParquetFile(file).metadata
+    assert found.num_rows == 1_500_000 and max(found.row_group(i).num_rows for i in range(found.num_row_groups)) < 1_200_000
+    assert filters.documents(stored, {"even": True}).count() == 750_000
+
+
 def test_numbers_of_documents_need_no_shuffle(spark, tmp_path):
     df = spark.createDataFrame([(1, "red lamp red"), (2, "the of"), (3, "lamp"), (4, None), (5, "")], "id long, t string")
     built = TextIndex.build(df, "id", "t")
