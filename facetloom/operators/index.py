@@ -19,6 +19,8 @@ from .defs import Facet
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Bytes of a stored index's row groups: one is read by one task, so they bound what a task of a filter holds.
 GROUP = 4 << 20
+#: Files that a task which stores an index keeps open at most, one for each facet, and bytes of row groups in all of them; rows of further facets are sorted (and spilled).
+FILES, OPEN = 256, 256 << 20
 
 
 def long_form(df: DataFrame, key: str, facets: Iterable[Facet]) -> DataFrame:
@@ -107,8 +109,9 @@ class FacetIndex:
 
     def write(self, path: str) -> FacetIndex:
         """Store the index by facet, without sorting by it, and go on from the stored one."""
-        with unsorted(self.rows.sparkSession):
-            self.rows.write.partitionBy("facet_id").option("parquet.block.size", GROUP).mode("overwrite").parquet(path)
+        files = min(len(self.facets) + 1, FILES)  # Spark sorts as soon as so many are open
+        with unsorted(self.rows.sparkSession, files):
+            self.rows.write.partitionBy("facet_id").option("parquet.block.size", min(GROUP, OPEN // files)).mode("overwrite").parquet(path)
         return FacetIndex(self.rows.sparkSession.read.schema(self.rows.schema).parquet(path).select(*self.rows.columns), self.facets, self.key, self.table, self.docs)
 
     def cardinality(self) -> DataFrame:

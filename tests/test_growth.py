@@ -56,6 +56,24 @@ def test_a_written_index_is_not_sorted(spark, tmp_path):
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
 
 
+def test_an_index_of_many_facets_is_not_sorted(spark, tmp_path):
+    """Sorts are made to spill early, which is counted."""
+    df = spark.range(0, 1000, 1, 1)
+    index = FacetIndex.build(df, "id", [defs.function(lambda i=i: F.col("id") % (i + 2), f"f{i}") for i in range(70)])
+    conf, name = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(name, "20000")
+    try:
+        stored = index.write(f"{tmp_path}/i")
+    finally:
+        conf.remove(name)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    last = max((s for s in (stages.apply(i) for i in range(stages.size())) if s.outputRecords() == 70_000), key=lambda s: s.stageId())
+    assert last.memoryBytesSpilled() == 0
+    assert rows(stored.cardinality()) == rows(index.cardinality())
+
+
 def test_row_groups_of_an_index_are_bounded(spark, tmp_path):
     """A filter's task holds the ids of a row group at least, however many tasks there are."""
     df = spark.range(0, 1_500_000, 1, 1)
