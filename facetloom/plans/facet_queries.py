@@ -341,9 +341,8 @@ def filter_near_vector(spark, sf_dir):
 @query("""SELECT * FROM (VALUES (1::INT, 'brand', 'plain', false, 'dropdown'), (2::INT, 'tags', 'array', true, 'multiselect'), (3::INT, 'size', 'rating', false, 'rating'), (4::INT, 'tier', 'function', false, 'dropdown'), (5::INT, 'keywords', 'function_array', true, 'multiselect'), (6::INT, 'large', 'boolean', false, 'checkbox')) t(facet_id, facet_name, facet_type, is_multi, ui_component)""")
 def facets_for_ui(spark, sf_dir):
     index = parts_index(spark, sf_dir)
-    listed = introspect.facet_list(index, spark).select("facet_id", "facet_name", "facet_type", "is_multi")
-    ui = spark.createDataFrame([(r["facet_name"], r["ui_component"]) for r in introspect.for_ui(index)], "facet_name string, ui_component string")
-    return listed.join(ui, "facet_name")
+    shown = F.create_map(*[F.lit(x) for r in introspect.for_ui(index) for x in (r["facet_name"], r["ui_component"])])
+    return introspect.facet_list(index, spark).select("facet_name", "facet_id", "facet_type", "is_multi", shown[F.col("facet_name")].alias("ui_component"))
 
 
 @query(f"WITH {ORDERS} SELECT facet_id, facet_name, facet_value, doc_id FROM idx WHERE facet_id <> 2 UNION ALL SELECT 5::INT, 'customer', o_custkey::VARCHAR, o_orderkey FROM orders WHERE o_custkey IS NOT NULL")

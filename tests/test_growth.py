@@ -213,3 +213,14 @@ def test_the_index_of_parts_is_stored_without_sorting(spark, tmp_path, monkeypat
     plans = [found.apply(i).physicalPlanDescription() for i in range(found.size())]
     written = [p for p in plans if f"{tmp_path}/stored" in p and "InsertIntoHadoopFsRelation" in p]
     assert len(written) == 1 and "Sort" not in written[0]
+
+
+def test_the_list_of_facets_needs_no_join(spark, tmp_path):
+    from facetloom.plans import facet_queries
+
+    spark.createDataFrame([(1, "blue part", "Brand#11", "SMALL TIN", 7, 900.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    out = facet_queries.facets_for_ui(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert out.columns == ["facet_name", "facet_id", "facet_type", "is_multi", "ui_component"]
+    assert [tuple(r) for r in out.orderBy("facet_id").collect()][1:4] == [("tags", 2, "array", True, "multiselect"), ("size", 3, "rating", False, "rating"), ("tier", 4, "function", False, "dropdown")]
